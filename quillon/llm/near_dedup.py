@@ -208,11 +208,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     groups = held.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     links = groups.mapInArrow(_confirm(k, percent), "src long, dst long")
     final = components(links)
-    classes = nodes.join(final, "node").select("digest", "comp")
+    classes = nodes.join(final, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     return (
         seen.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .join(nodes.select("digest", "node"), "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", "node", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
     )
