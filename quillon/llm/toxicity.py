@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._labels import sample
 
 TRAIN_ROWS = 5000
 LEAST_ROWS = 5  # texts that a feature must be in
@@ -91,12 +92,6 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray
     return w, -bz / ((BETA + np.sqrt(bq)) / ALPHA)
 
 
-def sample(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, label of at most so many labelled ids, those of least hash; small enough to be broadcast."""
-    y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    return y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Model:
     """From docs (doc_id, text) and labels (doc_id, label); see the module for the bound."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample(labels, label, TRAIN_ROWS)), "doc_id")
@@ -153,8 +148,3 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn("score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-def held_out(doc_id, mod: int, value: int):
-    """Whether crc32 of the id as text leaves that remainder; never for a null id."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == value, F.lit(False))
