@@ -1,13 +1,78 @@
-"""Stages that turn documents into clean training text; see the README."""
+"""Stages that turn documents into clean training text.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns the columns of
+documents; the last returns token ids. Between stages the rows are written as Parquet in the shared folder and read again.
+Rows keep their other columns; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import bpe, decontam, near_dedup, secret_scan, toxicity
+from quillon.llm._store import stored
+
+#: Stages share one model or table each with the sf_dir's labels and benchmark; nothing is passed between them but rows.
+TOXIC_AT = 0.3
+NEAR_PERCENT = 80
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.col(c) for c in docs.columns if c in COLUMNS))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under TOXIC_AT; trained on all labels of sf_dir within toxicity.TRAIN_ROWS."""
+    corpus, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(corpus, labels, "toxic")
+    return _columns(toxicity.score(docs, model, TOXIC_AT).where("predicted = 0"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the least doc_id. Rows of a null doc_id stay; of repeated rows one stays."""
+    found = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    return _columns(kept.dropDuplicates(["doc_id", "text"]))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return _columns(docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    return _columns(secret_scan.redact(docs, ratios).withColumn("n_chars", F.length("text").cast("long")))
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids of each document, and whether decoding the ids gives its text back."""
+    import public_tokenizers as public
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(docs, path, public.PATTERN), path, public.PATTERN)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("bpe", to_tokens),
+]
+#: FTRL training, sketches and merges have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
