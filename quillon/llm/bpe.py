@@ -2,7 +2,8 @@
 
 Each match of the split pattern is encoded by itself. Two tiers: a minimal perfect hash over the vocabulary resolves
 pre-tokens that are tokens; the others merge bytes by rank with a heap over a doubly linked list of parts, so that a
-run of n bytes costs n log n. Results of both are remembered in a bounded memo, as words repeat.
+run of n bytes costs n log n. Results of both are remembered in a bounded memo, as words repeat; no match of SPACED
+runs on from other characters into white space, so under it the memo takes a word with the white space before it.
 
 Scale: a map over rows without a shuffle; the broadcast holds the vocabulary only, whose size is checked (MOST_TOKENS).
 Texts are taken whole, and memory follows one text.
@@ -16,8 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _M = (1 << 64) - 1
-MEMO = 300_000
-MOST_TOKENS = 1_000_000
+MATCHES, PIECES = 800_000, 500_000  # remembered by a worker
+MOST_TOKENS = PAIR = 1_000_000
+#: A split pattern whose matches have no white space after other characters, and none that looks behind.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -47,7 +53,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]):
         n = self.n = len(keys)
-        self.buckets = n // 4 + 1
+        self.buckets = n // 2 + 1
         self.shift = [0] * self.buckets
         self.slots: list[int] = [-1] * n
         groups: dict[int, list[tuple[int, int]]] = {}
@@ -83,67 +89,97 @@ class PerfectHash:
         return i if self.keys[i] == key else -1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece: the adjacent pair of least rank, leftmost first, is joined until none is a token."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+def joins(tokens: list[bytes]) -> dict[int, int]:
+    """Pair of tokens (left * PAIR + right) -> the token of both together."""
+    ranks = {t: i for i, t in enumerate(tokens)}
+    return {(left * PAIR) + right: i for t, i in ranks.items() for k in range(1, len(t)) if (left := ranks.get(t[:k])) is not None and (right := ranks.get(t[k:])) is not None}
+
+
+def merge(ids: list[int], joined: dict[int, int]) -> list[int]:
+    """Ids of a piece from those of its bytes: the adjacent pair of least rank, leftmost first, is joined until none is a token."""
+    n, join = len(ids), joined.get
+    b = n.bit_length()
+    low = (1 << b) - 1
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # A pair is (rank, its first byte), packed into one number; it is stale if it doesn't make that token any more.
+    heap = [(r << b) + i for i, (x, y) in enumerate(zip(ids, ids[1:], strict=False)) if (r := join(x * PAIR + y)) is not None]
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, i, to = heapq.heappop(heap)
+        top = pop(heap)
+        i, r = top & low, top >> b
         j = after[i]
-        if j >= n or end[i] < 0 or end[j] != to:
+        if j >= n or ids[i] < 0 or join(ids[i] * PAIR + ids[j]) != r:
             continue
-        end[i], after[i], end[j] = to, after[j], -1
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if before[i] >= 0 and (r := ranks.get(piece[before[i] : to])) is not None:
-            heapq.heappush(heap, (r, before[i], to))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = after[i]
-    return out
-
-
-class Codec(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
+        k, h = after[j], before[i]
+        ids[i], after[i], ids[j] = r, k, -1
+        if k < n:
+            before[k] = i
+            if (s := join(r * PAIR + ids[k])) is not None:
+                push(heap, (s << b) + i)
+        if h >= 0 and (s := join(ids[h] * PAIR + r)) is not None:
+            push(heap, (s << b) + h)
+    return [x for x in ids if x >= 0]
+
+
+class Memo(dict):
+    """Remembers what make gives for short keys, so many at most."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(key) <= 32:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
+        return out
+
+
+class Codec:
+    """Text to ids, as little-endian unsigned 32-bit integers, and back."""
 
     def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
         self.tokens, self.perfect, self.split = tokens, perfect, regex.compile(pattern)
-        self.ranks = {t: i for i, t in enumerate(tokens)}
-
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
+        self.joined = joins(tokens)
+        self.bytes = [perfect.get(bytes([i])) for i in range(256)]
+        self.match = Memo(self._match, MATCHES)
+        self.piece = Memo(self._piece, PIECES) if pattern == SPACED else self.match
+        self.pieces = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+") if pattern == SPACED else self.split
+
+    def _match(self, match: str) -> bytes:
+        raw = match.encode()
         i = self.perfect.get(raw)
-        ids = [i] if i >= 0 else merge(raw, self.ranks)
-        if len(self) >= MEMO:
-            self.clear()
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= 64:
-            self[piece] = out
-        return out
+        ids = [i] if i >= 0 else merge([self.bytes[x] for x in raw], self.joined)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.match.__getitem__, self.split.findall(piece)))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split.findall(text)))
+        return b"".join(map(self.piece.__getitem__, self.pieces.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def _broadcast(df: DataFrame, path: str, pattern: str):
-    tokens = load_ranks(path)
-    held = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern))
-    made: list[Codec] = []
+_codecs: dict[str, Codec] = {}
+
 
-    def codec() -> Codec:
-        if not made:
-            made.append(Codec(*held.value))
-        return made[0]
+def _codec(key: str, held) -> Codec:
+    """A worker keeps its codec, and what that remembers, from task to task."""
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(*held.value)
+    return _codecs[key]
 
-    return codec
+
+def _broadcast(df: DataFrame, path: str, pattern: str) -> Callable[[], Codec]:
+    tokens = load_ranks(path)
+    key = xxhash.xxh3_128_hexdigest(b"\n".join([pattern.encode(), *map(base64.b64encode, tokens)]))
+    held = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern))
+    return partial(_codec, key, held)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
