@@ -24,7 +24,7 @@ GRAMS = (3, 4)
 _SPAM = (
     "cheap-pills spam-farm casino-bonus free-money win-prize hot-deals loan-approved replica-watches adult-cams porn-tube xxx-video betting-tips poker-online viagra-store cialis-shop payday-loans weight-loss-miracle "
     "crypto-giveaway clickbait-news traffic-farm seo-links link-farm buy-followers download-crack keygen-free warez-zone torrent-hub pills-discount lottery-winner sex-chat escort-city gambling-world slot-machines "
-    "fake-rolex miracle-cure earn-fast get-rich-quick cheap-meds pharma-discount spam-links spam-site pills-online farm-links casino-royal bonus-slots"
+    "ad-server ads-network click-tracker ads-tracking popup-ads banner-ads free-bets casino-winner fake-rolex miracle-cure earn-fast get-rich-quick cheap-meds pharma-discount spam-links spam-site pills-online farm-links casino-royal bonus-slots"
 ).split()
 _PLAIN = (
     "news weather sports library university research journal science history music cooking garden travel health school museum theatre market council city county museum-archive open-data wiki forum docs support blog photo "
