@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from . import _text
 from ._labels import sample
 
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 10_000
 LEAST_ROWS = 5  # texts that a feature must be in
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 2.0, 0.5
+EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 3.0, 0.5
 MOST_WEIGHTS = 2_000_000
 _FILTER_BITS = 22
 
