@@ -43,20 +43,34 @@ def _tables() -> tuple[str, str]:
     return out[0], out[1]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def canonical(text: Column) -> Column:
-    """The canonical form of a string column."""
+    """The canonical form of a string column; plain ASCII takes a short way."""
     decompositions, classes = (F.from_json(F.lit(t), k) for t, k in zip(_tables(), ("array<array<string>>", "array<array<int>>"), strict=True))
-    entry = lambda table, c: F.get(F.get(table, F.floor(F.ascii(c) / 256).cast("int")), F.ascii(c) % 256)
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), F.lit(0))), lambda c: entry(decompositions, c).isNotNull())
-    split = F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.aggregate(found, text, lambda t, c: F.replace(t, c, entry(decompositions, c)))).otherwise(text)
+    entry = lambda table, c: F.get(F.get(table, F.shiftright(F.ascii(c), 8)), F.ascii(c).bitwiseAND(255))
     zero = lambda c: F.coalesce(entry(classes, c), F.lit(0))
-    chars = lambda run: F.split(run, "")
-    key = lambda run: F.transform(chars(run), lambda c, i: F.struct(F.size(F.filter(F.slice(chars(run), 1, i + 1), lambda x: zero(x) == 0)).alias("g"), zero(c).alias("k"), i.alias("i"), c.alias("c")))
-    ordered = lambda run: F.array_join(F.transform(F.array_sort(key(run)), lambda x: x.c), "")
-    runs = F.transform(F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(split, F.lit(r"\p{M}{2,}"), F.lit(0))), lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), lambda x: x.r)
-    marked = F.when(F.rlike(split, F.lit(r"\p{M}{2}")), F.aggregate(runs, split, lambda t, r: F.replace(t, r, ordered(r)))).otherwise(split)
-    return F.trim(F.regexp_replace(F.lower(F.upper(marked)), r"[\s\p{Z}]+", " "))
+    folded = lambda t: F.trim(F.regexp_replace(t, r"[\s\p{Z}]+", " "))
+
+    def decomposed(t: Column) -> Column:
+        found = F.array_distinct(F.split(F.regexp_replace(t, r"[\x00-\x7F]+", ""), ""))
+        pairs = F.filter(F.transform(found, lambda c: F.struct(c.alias("c"), entry(decompositions, c).alias("d"))), lambda x: x.d.isNotNull())
+        return F.aggregate(pairs, t, lambda a, x: F.replace(a, x.c, x.d))
+
+    def ordered(run: Column) -> Column:
+        """A run of marks, those between two starters sorted by class."""
+        key = lambda chars: F.transform(chars, lambda c, i: F.struct(F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: zero(x) == 0)).alias("g"), zero(c).alias("k"), i.alias("i"), c.alias("c")))
+        return _let(F.split(run, ""), lambda chars: F.array_join(F.transform(F.array_sort(key(chars)), lambda x: x.c), ""))
+
+    def marked(t: Column) -> Column:
+        runs = F.transform(F.array_sort(F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\p{M}{2,}"), F.lit(0))), lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), lambda x: x.r)
+        return F.when(F.rlike(t, F.lit(r"\p{M}{2}")), F.aggregate(runs, t, lambda a, r: F.replace(a, r, ordered(r)))).otherwise(t)
+
+    wide_text = lambda t: F.lower(F.upper(_let(decomposed(t), marked)))
+    return _let(F.coalesce(text.cast("string"), F.lit("")), lambda t: folded(F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(wide_text(t))))
 
 
 def wide(canon: Column) -> Column:
