@@ -95,22 +95,27 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Model:
     """From docs (doc_id, text) and labels (doc_id, label); see the module for the bound."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample(labels, label, TRAIN_ROWS)), "doc_id")
-    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toPandas()
-    got = got.sort_values(["doc_id", "label", "features"], kind="stable")
-    y = got["label"].to_numpy(dtype=np.float64) if len(got) else np.zeros(0)
+    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toArrow()
+    held = [np.frombuffer(x.as_py(), np.uint32) for x in got["features"]]
+    ids, y = got["doc_id"].to_pylist(), got["label"].to_numpy().astype(np.float64)
+    del got
+    order = sorted(range(len(held)), key=lambda i: (ids[i], y[i], held[i].tobytes()))
+    rows, y = [held[i] for i in order], y[order]
+    del held
     none = np.zeros(0, np.uint32)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
-    rows = [np.frombuffer(x, np.uint32) for x in got["features"]]
-    every = np.sort(np.concatenate(rows))
+    every = np.concatenate(rows)
+    every.sort()
     first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint32(1)) != 0)
     keys = every[first][np.diff(first, append=len(every)) >= LEAST_ROWS]
     del every
     coordinates = []
-    for x in rows:
+    for k, x in enumerate(rows):
         i = np.searchsorted(keys, x)
         i[i == len(keys)] = 0
+        rows[k] = None
         coordinates.append(i[keys[i] == x].astype(np.int32) if len(keys) else np.zeros(0, np.int32))
     w, bias = ftrl(coordinates, y, len(keys))
     kept = np.flatnonzero(w)
