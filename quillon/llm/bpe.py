@@ -20,7 +20,7 @@ import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType
 
 _M = (1 << 64) - 1
-MATCHES, PIECES = 800_000, 500_000  # remembered by a worker
+MATCHES, PIECES = 600_000, 300_000  # remembered by a worker
+RUN_BYTES = 2 << 20
 MOST_TOKENS = PAIR = 1_000_000
 #: A split pattern whose matches have no white space after other characters, and none that looks behind.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -142,12 +144,15 @@ class Codec:
 
     def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
         self.tokens, self.perfect, self.split = tokens, perfect, regex.compile(pattern)
-        self.joined = joins(tokens)
         self.bytes = [perfect.get(bytes([i])) for i in range(256)]
         self.match = Memo(self._match, MATCHES)
         self.piece = Memo(self._piece, PIECES) if pattern == SPACED else self.match
         self.pieces = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+") if pattern == SPACED else self.split
 
+    @cached_property
+    def joined(self) -> dict[int, int]:
+        return joins(self.tokens)
+
     def _match(self, match: str) -> bytes:
         raw = match.encode()
         i = self.perfect.get(raw)
@@ -182,32 +187,48 @@ def _broadcast(df: DataFrame, path: str, pattern: str) -> Callable[[], Codec]:
     return partial(_codec, key, held)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
-    """docs with token_ids (array<long>) of whole texts."""
-    codec = _broadcast(docs, path, pattern)
+def _added(docs: DataFrame, column: str, added: dict[str, DataType], make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with columns made from one of theirs, run by run of rows, so that memory follows a few megabytes or one long row."""
+    kept = [c for c in docs.columns if c not in added or c == column]
+    out = [c for c in kept if c not in added]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, whole.num_rows * RUN_BYTES // max(1, whole.column(column).nbytes))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                yield pa.record_batch([batch.column(c) for c in out] + make(batch.column(column)), names=out + list(added))
 
-    def ids(batches: Iterator) -> Iterator:
-        import pandas as pd
+    schema = docs.select(*out).schema
+    for name, kind in added.items():
+        schema = schema.add(name, kind)
+    return docs.select(*kept).mapInArrow(run, schema)
 
+
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", verify: str | None = None) -> DataFrame:
+    """docs with token_ids (array<long>) of whole texts, and if verify is a name, whether decoding them gives the text back."""
+    codec = _broadcast(docs, path, pattern)
+
+    def make(texts: pa.Array) -> list[pa.Array]:
         c = codec()
-        for s in batches:
-            yield pd.Series([np.frombuffer(c.encode(x or ""), dtype="<u4").astype(np.int64) for x in s], dtype=object)
+        own = [x or "" for x in texts.cast(pa.string()).to_pylist()]
+        ids = [c.encode(x) for x in own]
+        values = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
+        made = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)), pa.array(values))]
+        return made + ([pa.array([c.decode(i) == x.encode() for i, x in zip(ids, own, strict=True)], pa.bool_())] if verify else [])
 
-    return docs.withColumn("token_ids", F.pandas_udf(ids, "array<long>", F.PandasUDFType.SCALAR_ITER)(F.col(column).cast("string")))
+    return _added(docs, column, {"token_ids": ArrayType(LongType())} | ({verify: BooleanType()} if verify else {}), make)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, column: str = "token_ids") -> DataFrame:
     """docs with decoded (binary), the bytes of the ids; an id outside the vocabulary is an error."""
     codec = _broadcast(docs, path, pattern)
 
-    def raw(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def make(lists: pa.Array) -> list[pa.Array]:
         c = codec()
-        for s in batches:
-            yield pd.Series([c.decode(np.asarray([] if x is None else x, dtype="<u4").tobytes()) for x in s])
+        return [pa.array([c.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in lists.to_pylist()], pa.binary())]
 
-    return docs.withColumn("decoded", F.pandas_udf(raw, "binary", F.PandasUDFType.SCALAR_ITER)(F.col(column)))
+    return _added(docs, column, {"decoded": BinaryType()}, make)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
