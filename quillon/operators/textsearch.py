@@ -32,13 +32,13 @@ def stem(c: Column) -> Column:
     """English suffix stripping: plurals, -ed, -ing, -ly, -ness, -ment where three letters remain."""
     c = F.regexp_replace(c, r"^(.{3,})(?:sses)$", "$1ss")
     c = F.regexp_replace(c, r"^(.{2,})ies$", "$1y")
-    c = F.regexp_replace(c, r"^(.{3,}[^su])s$", "$1")
+    c = F.regexp_replace(c, r"^(.{2,}[^su])s$", "$1")
     return F.regexp_replace(c, r"^(.{3,}?)(?:ingly|edly|ing|ed|ly|ness|ment)$", "$1")
 
 
 def best_of_groups(items: DataFrame, key: str, rating: str, group: str) -> DataFrame:
     """The best-rated item of each group (ties: lesser key), with groups, their number; group 0 is unset, each such item its own."""
-    g = F.when(F.col(group) == 0, F.struct(F.lit(True), F.col(key))).otherwise(F.struct(F.lit(False), F.col(group).cast(items.schema[key].dataType)))
+    g = F.when(F.col(group) == 0, F.struct(F.lit(True).alias("own"), F.col(key).alias("id"))).otherwise(F.struct(F.lit(False).alias("own"), F.col(group).cast(items.schema[key].dataType).alias("id")))
     w = Window.partitionBy("_g").orderBy(F.desc(rating), key)
     best = items.withColumn("_g", g).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_g")
     return best.join(F.broadcast(best.agg(F.count("*").alias("groups"))))
@@ -60,19 +60,20 @@ def word_weights(docs: DataFrame, query: list[str], key: str = "doc_id", text: s
 
 
 def extra_words(words: Column, phrase: list[str]) -> Column:
-    """Least number of extra words of the phrase in an array of words: over starts, the greedy in-order span less its length; null if absent."""
-    n = len(phrase)
-    span = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.when(F.get(words, i - 1) == phrase[0], _greedy(words, i, phrase[1:])))
-    return F.when(F.size(words) >= n, F.array_min(F.filter(span, lambda x: x.isNotNull())) - (n - 1))
+    """Least number of extra words where the phrase's words stand in order in an array of words; null if they never do.
 
+    One pass over the places of the phrase's words keeps, for each beginning of the phrase, the latest place where it starts.
+    """
+    n, none = len(phrase), F.lit(None).cast("int")
+    places = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("w"), i.alias("i"))), lambda p: p.w.isin(phrase))
+    state = F.struct(*(none.alias(f"s{j}") for j in range(n)), none.alias("best"))
 
-def _greedy(words: Column, start: Column, rest: list[str]) -> Column:
-    """Distance from start to the last of the rest, each the next one after the former."""
-    at = start
-    for w in rest:
-        found = F.array_position(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0)).cast("int")), w)
-        at = F.when(found > 0, at + found.cast("int"))
-    return at - start
+    def step(a: Column, p: Column) -> Column:
+        start = [F.when(p.w == phrase[j], a[f"s{j - 1}"] if j else p.i).otherwise(a[f"s{j}"]) for j in range(n)]
+        extra = F.when(p.w == phrase[-1], p.i - (a[f"s{n - 2}"] if n > 1 else p.i) - (n - 1))
+        return F.struct(*(c.alias(f"s{j}") for j, c in enumerate(start)), F.least(a["best"], extra).alias("best"))
+
+    return F.aggregate(places, state, step, lambda a: a["best"])
 
 
 def phrase_rank(docs: DataFrame, phrases: list[list[str]], minus: list[list[str]], most_extra: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,13 +102,17 @@ def correction(counts: DataFrame, text: str, most: int = 2, word: str = "word",
     return best.where("edits > 0")
 
 
+def _begins(words: Column, forms: list[Column]) -> Column:
+    return F.exists(words, lambda x: F.array_contains(F.array(*(F.startswith(x, f) for f in forms)), True))
+
+
 def hints(objects: DataFrame, query: str, limit: int, now: int, half_life: float = 4 * 7 * 86400.0, key: str = "id", text: str = "text", rating: str = "rating", seen: str = "seen", latin: bool = True) -> DataFrame:
     """Objects of whose keywords every query word is a prefix (as typed, transliterated or under the other layout), by decayed rating."""
     words = words_of(F.col(text))
     fits = F.lit(True)
     for w in query.lower().split():
         forms = [F.lit(w)] + ([transliterate(F.lit(w)), other_layout(F.lit(w))] if latin else [])
-        fits = fits & F.exists(words, lambda x, forms=forms: F.array_contains(F.array(*(F.startswith(x, f) for f in forms)), True))
+        fits = fits & _begins(words, forms)
     score = F.col(rating) * F.pow(F.lit(2.0), -(F.lit(now) - F.col(seen)) / half_life)
     return objects.where(fits).withColumn("score", score).orderBy(F.desc("score"), key).limit(limit)
 

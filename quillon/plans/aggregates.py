@@ -316,7 +316,7 @@ def a40_account_transactions(spark, d):
 
 @query(
     """WITH v AS (SELECT unnest(['the', 'and', 'of', 'with', 'that']) AS v), w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents), u AS (SELECT DISTINCT word FROM w WHERE word <> ''),
-    k AS (SELECT word, CASE WHEN word IN (SELECT v FROM v) THEN 0 WHEN EXISTS (SELECT 1 FROM v WHERE levenshtein(word, v.v) <= 1) THEN 1 ELSE 2 END AS c FROM u)
+    k AS (SELECT word, CASE WHEN word IN (SELECT v FROM v) THEN 0 WHEN EXISTS (SELECT 1 FROM v WHERE levenshtein(regexp_replace(word, '[^ -~]', '~', 'g'), v.v) <= 1) THEN 1 ELSE 2 END AS c FROM u)
     SELECT doc_id, count(*) FILTER (c = 0) AS known, count(*) FILTER (c = 1) AS misspelt, count(*) FILTER (c = 2) AS other FROM w JOIN k USING (word) GROUP BY 1"""
 )
 def a41_spell_check(spark, d):
@@ -332,6 +332,6 @@ def a42_distinct_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(words_of(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("SELECT count(*) AS n, round(sum(p_size), 2) AS size FROM (SELECT p_size FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50)")
+@query("SELECT count(*) AS n, CAST(sum(p_size) AS DOUBLE) AS size FROM (SELECT p_size FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50)")
 def a43_top_statistics(spark, d):
     return table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).agg(F.count("*").alias("n"), F.round(F.sum("p_size"), 2).cast("double").alias("size"))

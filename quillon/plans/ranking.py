@@ -28,7 +28,7 @@ def w3_priority_sort(spark, d):
     return o.select("o_orderkey", F.least((5 - F.substring("o_orderpriority", 1, 1).cast("bigint")) * 200_000_000 + F.col("o_orderkey"), F.lit(2147483647)).alias("mixed")).orderBy(F.desc("mixed"), "o_orderkey").limit(50)
 
 
-TOK = "WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '')) AS w FROM documents) "
+TOK = "WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents) "
 
 
 @query(TOK + ", f AS (SELECT doc_id, w, count(*) AS f FROM t GROUP BY 1, 2) SELECT doc_id, round(sum(CASE WHEN w IN ('the', 'and') THEN f * f ELSE 0 END) / sqrt(sum(f * f)), 8) AS score FROM f GROUP BY 1 HAVING sum(CASE WHEN w IN ('the', 'and') THEN f * f ELSE 0 END) > 0")
@@ -37,7 +37,7 @@ def w4_word_weights(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t),
+    """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM t),
     a AS (SELECT doc_id, i FROM p WHERE w = 'the'), b AS (SELECT doc_id, i FROM p WHERE w = 'of'),
     s AS (SELECT a.doc_id, a.i, min(b.i) - a.i - 1 AS extra FROM a JOIN b ON a.doc_id = b.doc_id AND b.i > a.i GROUP BY 1, 2), m AS (SELECT doc_id, CAST(min(extra) AS INT) AS extra FROM s GROUP BY 1)
     SELECT doc_id, extra FROM m WHERE extra <= 3 AND doc_id NOT IN (SELECT x.doc_id FROM p x JOIN p y ON x.doc_id = y.doc_id AND y.i = x.i + 1 WHERE x.w = 'and' AND y.w = 'the')"""
@@ -150,7 +150,7 @@ def w20_spelling_suggestion(spark, d):
     return textsearch.correction(_words(spark, d), "thatt")
 
 
-@query("WITH p AS (SELECT p_partkey AS id, p_name, p_size * pow(2.0, -(p_partkey % 100 * 86400) / 2419200.0) AS score FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), x -> starts_with(x, 'p'))) > 0) SELECT id, round(score, 6) AS score FROM p ORDER BY p.score DESC, id LIMIT 12")
+@query("WITH p AS (SELECT p_partkey AS id, p_name, p_size * pow(2.0, -(p_partkey % 100 * 86400) / 2419200.0) AS score FROM part WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: starts_with(x, 'p'))) > 0) SELECT id, round(score, 6) AS score FROM p ORDER BY p.score DESC, id LIMIT 12")
 def w21_user_hints(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_size").alias("rating"), (F.lit(1_706_600_000) - F.col("p_partkey") % 100 * 86400).alias("seen"))
     return textsearch.hints(p, "p", 12, 1_706_600_000).select("id", F.round("score", 6).alias("score"))
@@ -168,7 +168,7 @@ def w22_random_by_rating(spark, d):
     return table(spark, d, "part").orderBy(-F.log(u) / F.col("p_size"), "p_partkey").limit(20).select("p_partkey")
 
 
-@query("WITH r AS (SELECT c_custkey AS id, 1000.0 AS rating FROM customer WHERE c_custkey <= 4) SELECT id, CASE id WHEN 1 THEN 1030.0 WHEN 4 THEN 1000.0 ELSE 985.0 END AS rating FROM r")
+@query("WITH r AS (SELECT c_custkey AS id, 1000.0 AS rating FROM customer WHERE c_custkey <= 4) SELECT id, CASE id WHEN 1 THEN 1030.0 WHEN 2 THEN 985.0 WHEN 3 THEN 985.0 ELSE 1000.0 END AS rating FROM r")
 def w23_winner_transfer(spark, d):
     """The winner takes a share of each loser's rating; the rows of one event only."""
     r = table(spark, d, "customer").where("c_custkey <= 4").select(F.col("c_custkey").alias("id"), F.lit(1000.0).alias("rating"))
@@ -217,7 +217,7 @@ def w30_task_fetch(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(25).select("o_orderkey")
 
 
-@query("WITH q AS (SELECT ['what', 'is', 'the', 'of', 'and'] AS q), d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), x -> x <> '')) AS w FROM documents), s AS (SELECT doc_id, len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) AS score FROM d, q) SELECT doc_id AS id, round(score, 8) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 10")
+@query("WITH q AS (SELECT ['what', 'is', 'the', 'of', 'and'] AS q), d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents), s AS (SELECT doc_id, len(list_intersect(w, q)) / len(list_distinct(list_concat(w, q))) AS score FROM d, q) SELECT doc_id AS id, round(score, 8) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 10")
 def w31_answers(spark, d):
     q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return textsearch.answers(q, "What is the of and", 10).select("id", F.round("score", 8).alias("score"))
