@@ -117,7 +117,7 @@ def w16_price_of_place(spark, d):
 
 @query(E + ", s AS (SELECT k AS ad, count(*) FILTER (type = 'click') AS c, count(*) FILTER (type = 'view') AS v FROM e LEFT JOIN (SELECT k, uid, min(time) AS first FROM e WHERE type = 'click' GROUP BY 1, 2) f USING (k, uid) WHERE type = 'click' OR first IS NULL OR time <= first GROUP BY 1) SELECT ad, round(2.5 * (c + 1) / (v + 1000), 9) AS gain FROM s")
 def w17_gain_estimate(spark, d):
-    return _clicks(spark, d).where("clicks + views > 0").select("ad", F.round(ads.estimated_gain(F.lit(2.5), F.col("clicks"), F.col("views")), 9).alias("gain"))
+    return _clicks(spark, d).select("ad", F.round(ads.estimated_gain(F.lit(2.5), F.col("clicks"), F.col("views")), 9).alias("gain"))
 
 
 @query(E + ", c AS (SELECT uid, sum(pow(2.0, -(1706600000 - time) / 86400.0)) AS v FROM e GROUP BY 1) SELECT uid, round(v, 6) AS v FROM c WHERE v >= 0.01 ORDER BY c.v DESC, uid LIMIT 15")
