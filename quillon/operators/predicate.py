@@ -145,7 +145,8 @@ class _Parser:
         if self.peek() == "!":
             self.take()
             return ~self.apart_term(name)
-        return F.exists(self.fields.get(name, F.col(name)), lambda e, at=self.i: self._again(at, name, e))
+        at = self.i
+        return F.exists(self.fields.get(name, F.col(name)), lambda e: self._again(at, name, e))
 
     def _again(self, at: int, name: str, e: Column) -> Column:
         self.i = at
