@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators.predicate import words_of
 
 MOST_RANGES = 1_000_000
+BLOCK = 1000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,15 +51,17 @@ def common_neighbours(edges: DataFrame, user: int) -> DataFrame:
     return edges.where(F.col("u") != user).distinct().join(own, "v", "left_semi").groupBy(F.col("u").alias("other")).agg(F.count("*").alias("common"))
 
 
-def suggestions(edges: DataFrame, users: DataFrame, least: int = 1, limit: int = 10, except_pairs: DataFrame | None = None, hub: int = 1000) -> DataFrame:
+def suggestions(edges: DataFrame, users: DataFrame, least: int = 1, limit: int = 10, except_pairs: DataFrame | None = None) -> DataFrame:
     """u, other, common, rank: for the given users (u) the others with most neighbours in common that aren't neighbours already.
 
-    Two hops from a stated set of users; middle nodes of more than hub neighbours are left to ``hub``, as the reference bounds them.
+    Two hops from a stated set of users over every middle node; the neighbours of one are spread over blocks of about
+    BLOCK, and pairs are summed before they are shuffled, so that no task holds a whole hot node.
     """
     e = edges.select("u", "v").distinct()
-    degree = e.groupBy("v").agg(F.count("*").alias("d")).where(F.col("d") <= hub).select("v")
-    e = e.join(degree, "v", "left_semi")
-    hop = e.join(users.select("u").distinct(), "u", "left_semi").join(e.withColumnRenamed("u", "other"), "v").where("u <> other")
+    e = e.join(e.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("_n")), "v")
+    own = e.join(users.select("u").distinct(), "u", "left_semi").select("u", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_b"))
+    far = e.select(F.col("u").alias("other"), "v", F.pmod(F.xxhash64("u"), F.col("_n")).alias("_b"))
+    hop = own.join(far, ["v", "_b"]).where("u <> other")
     pairs = hop.groupBy("u", "other").agg(F.count("*").alias("common")).where(F.col("common") >= least)
     pairs = pairs.join(edges.select("u", F.col("v").alias("other")).distinct(), ["u", "other"], "left_anti")
     if except_pairs is not None:
