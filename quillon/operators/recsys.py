@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1000
+
 
 def recommended(actions: DataFrame, rates: DataFrame, raters: DataFrame, now: int, period: float, once_below: int = 32) -> DataFrame:
     """type, owner, place, users, weight: actions (user, type, owner, place, action, created) at rates (type, action, rate) times raters (user, rate), halved every period seconds.
@@ -38,13 +40,18 @@ def grouped_feed(items: DataFrame, keys: list[str], time: str, member: str, most
     return whole.join(lists, [*keys, "day"])
 
 
-def similarity(scores: DataFrame, least: float = 0.2, user: str = "user", item: str = "item", value: str = "value", most_items: int = 1000) -> DataFrame:
-    """i, j, sim for pairs of items of common users: sum of products of scores, plus least. Users of more than most_items items are left out, as pairs grow with the square."""
+def similarity(scores: DataFrame, least: float = 0.2, user: str = "user", item: str = "item", value: str = "value") -> DataFrame:
+    """i, j, sim for pairs of items of common users: sum of products of scores, plus least.
+
+    Every user counts: a user's items are spread over blocks of about BLOCK, each pair of blocks is joined by itself and
+    summed before the shuffle. Pairs still grow with the square of a user's items.
+    """
     s = scores.groupBy(user, item).agg(F.sum(value).alias("v"))
-    few = s.groupBy(user).agg(F.count("*").alias("n")).where(F.col("n") <= most_items).select(user)
-    s = s.join(few, user, "left_semi")
-    a, b = s.select(user, F.col(item).alias("i"), F.col("v").alias("a")), s.select(user, F.col(item).alias("j"), F.col("v").alias("b"))
-    return a.join(b, user).where("i < j").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) + least).alias("sim"))
+    s = s.join(s.groupBy(user).agg(F.ceil(F.count("*") / BLOCK).alias("_n")), user).withColumn("_b", F.pmod(F.xxhash64(item), F.col("_n")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    a = s.select(user, F.col(item).alias("i"), F.col("v").alias("a"), F.col("_b").alias("_x"), every.alias("_y"))
+    b = s.select(user, F.col(item).alias("j"), F.col("v").alias("b"), every.alias("_x"), F.col("_b").alias("_y"))
+    return a.join(b, [user, "_x", "_y"]).where("i < j").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) + least).alias("sim"))
 
 
 def suggest_items(scores: DataFrame, sim: DataFrame, users: DataFrame, limit: int, user: str = "user", item: str = "item", value: str = "value", factor: Column | None = None) -> DataFrame:
