@@ -2,9 +2,9 @@
 
 Base spans are leftmost and non-overlapping for each kind: ``assign`` (a named credential with a value of 6 or more
 characters), ``access`` (AKIA keys of 20 or more) and ``hex`` (runs of 24 or more). A match that fails its length is
-used up all the same. The method adds ``markov`` spans: runs of LEAST or more token characters with a digit whose
-log-likelihood ratio under two character bigram models (random strings against ordinary identifiers) exceeds MARGIN;
-runs that overlap a base span are left out. The models are counted from labelled samples, and their table is bounded by
+used up all the same. The method adds ``markov`` spans: runs of LEAST or more token characters whose log-likelihood
+ratio under two character bigram models (random strings against ordinary identifiers) exceeds MARGIN; where base spans
+overlap a run, its parts outside them are kept. The models are counted from labelled samples, and their table is bounded by
 the alphabet's square.
 
 Scale: a projection without a shuffle. Offsets come from the lengths of matches and of the gaps between them.
@@ -40,7 +40,7 @@ _WORDS = (
 
 
 def labelled_samples(spark: SparkSession, n: int = 1500) -> DataFrame:
-    """sample, random (1 or 0): strings drawn from usual key alphabets, and identifiers, slugs and paths put together from words."""
+    """sample, random (1 or 0): strings drawn from usual key alphabets, and identifiers, slugs, paths and constants put together from words, and rules of one character."""
     rng, rows = random.Random(5), []
     alphabets = (ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + "0123456789", "0123456789abcdef")
     for i in range(n):
@@ -51,6 +51,9 @@ def labelled_samples(spark: SparkSession, n: int = 1500) -> DataFrame:
         style = i % 5
         text = "".join(p.title() for p in parts) if style == 0 else "_".join(parts) if style == 1 else "-".join(parts) if style == 2 else "/".join(parts) if style == 3 else "".join(parts)
         rows.append((text + ("_" if style == 1 and digits else "") + digits, 0))
+    for i in range(n // 3):
+        rows.append((("_" if i % 2 else "-").join(rng.choice(_WORDS).upper() for _ in range(rng.randint(2, 6))), 0))
+        rows.append((rng.choice("-=_/+") * rng.randint(20, 60) if i % 2 else rng.choice(ALPHABET) * rng.randint(20, 40), 0))
     return spark.createDataFrame(rows, "sample string, random int")
 
 
@@ -86,7 +89,7 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     df = df.withColumn("_values", F.when(F.size("_assign") > 0, all_of(ASSIGN, 2)).otherwise(none))
     at = lambda c, i: f"instr('{ALPHABET}', substr({c}, {i}, 1))"
     ratio = f"aggregate(sequence(1, length(t) - 1), 0D, (s, k) -> s + _ratio[({at('t', 'k')} - 1) * {n} + {at('t', 'k + 1')} - 1])"
-    df = df.withColumn("_ratio", F.lit(ratios)).withColumn("_odds", F.expr(f"transform(_run, t -> if(t rlike '[0-9]', {ratio}, -1D))"))
+    df = df.withColumn("_ratio", F.lit(ratios)).withColumn("_odds", F.expr(f"transform(_run, t -> {ratio})"))
     df = df.withColumns(
         {
             "_a": _at("_text", ASSIGN, "_assign", "length(_values[i - 1]) >= 6", 0), "_k": _at("_text", ACCESS, "_access", "length(_access[i - 1]) >= 20", 1), "_h": _at("_text", HEX, "_hex", "true", 2),
@@ -95,7 +98,12 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     )
     df = df.withColumn("base_spans", F.array_sort(F.concat("_a", "_k", "_h")))
     df = df.withColumn("_m", F.when(F.col("_m"), _at("_text", RUN, "_run", f"_odds[i - 1] > {MARGIN}D", 3)).otherwise(F.expr(f"cast(array() AS {_SPANS})")))
-    df = df.withColumn("spans", F.when(F.size("_m") == 0, F.col("base_spans")).otherwise(F.expr("array_sort(concat(base_spans, filter(_m, m -> NOT exists(base_spans, b -> b.s < m.e AND m.s < b.e))))")))
+    part = lambda s, e: f"array_append(a.out, named_struct('s', {s}, 'o', 3, 'e', {e}))"
+    rest = (
+        f"aggregate(filter(base_spans, b -> b.s < m.e AND m.s < b.e), named_struct('p', m.s, 'out', cast(array() AS {_SPANS})), (a, b) -> named_struct('p', greatest(a.p, b.e), 'out', "
+        f"if(b.s > a.p, {part('a.p', 'b.s')}, a.out)), a -> if(a.p < m.e, {part('a.p', 'm.e')}, a.out))"
+    )
+    df = df.withColumn("spans", F.when(F.size("_m") == 0, F.col("base_spans")).otherwise(F.expr(f"array_sort(concat(base_spans, flatten(transform(_m, m -> {rest}))))")))
     return df.drop("_text", "_assign", "_access", "_hex", "_run", "_values", "_ratio", "_odds", "_a", "_k", "_h", "_m")
 
 
