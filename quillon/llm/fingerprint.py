@@ -10,7 +10,8 @@ run, and only one row a bucket is handed to its neighbour. ``exact_groups`` shuf
 in equal buckets; its hot buckets are summed before the shuffle and joined, never collected.
 
 Edge cases: a null text counts as empty; repeated doc_ids are ordered by their texts' hash, then by the text; null
-doc_ids stand after all others; a table of one row is its own next. Hangul syllables are left composed.
+doc_ids stand after all others; a table of one row is its own next. Hangul syllables
+are decomposed by arithmetic, not by the table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Leading consonants, vowels and trailing consonants (the first is none) of Hangul syllables, in the order of their code points.
+LEADS, VOWELS, TRAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 BUCKET_ROWS, MOST_BUCKETS = 2000, 65536
 
 
@@ -52,12 +55,18 @@ def canonical(text: Column) -> Column:
     """The canonical form of a string column; plain ASCII takes a short way."""
     decompositions, classes = (F.from_json(F.lit(t), k) for t, k in zip(_tables(), ("array<array<string>>", "array<array<int>>"), strict=True))
     entry = lambda table, c: F.get(F.get(table, F.shiftright(F.ascii(c), 8)), F.ascii(c).bitwiseAND(255))
+    jamo = lambda letters, i: F.substring(F.lit(letters), i + 1, 1)
     zero = lambda c: F.coalesce(entry(classes, c), F.lit(0))
     folded = lambda t: F.trim(F.regexp_replace(t, r"[\s\p{Z}]+", " "))
 
+    def syllable(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        trail = F.when(n % 28 > 0, jamo(TRAILS, n % 28 - 1)).otherwise("")
+        return F.concat(jamo(LEADS, F.floor(n / 588).cast("int")), jamo(VOWELS, F.floor(n % 588 / 28).cast("int")), trail)
+
     def decomposed(t: Column) -> Column:
         found = F.array_distinct(F.split(F.regexp_replace(t, r"[\x00-\x7F]+", ""), ""))
-        pairs = F.filter(F.transform(found, lambda c: F.struct(c.alias("c"), entry(decompositions, c).alias("d"))), lambda x: x.d.isNotNull())
+        pairs = F.filter(F.transform(found, lambda c: F.struct(c.alias("c"), F.when(F.ascii(c).between(0xAC00, 0xD7A3), syllable(c)).otherwise(entry(decompositions, c)).alias("d"))), lambda x: x.d.isNotNull())
         return F.aggregate(pairs, t, lambda a, x: F.replace(a, x.c, x.d))
 
     def ordered(run: Column) -> Column:

@@ -52,6 +52,12 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -85,7 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_bpe, op4_toxicity, op5_decontamination, op6_fingerprint, op7_url_filter, op8_near_dedup, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_bpe, op4_toxicity, op5_decontamination, op6_fingerprint, op6_exact_groups, op7_url_filter, op8_near_dedup, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
