@@ -9,15 +9,20 @@ from ._store import stored
 
 
 def _large(e: DataFrame) -> DataFrame:
-    """Each node's greater neighbours move to the least of it and its neighbours."""
+    """Each node's greater neighbours move to the least of it and its neighbours.
+
+    Only nodes with a smaller neighbour move anything. Their least neighbours are a table of their own, so that Spark
+    can split the join of a node with very many neighbours.
+    """
     both = e.union(e.select("dst", "src")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+    least = stored(e.groupBy(F.col("src").alias("u")).agg(F.min("dst").alias("m")), "least")
+    moved = both.where("v > u").join(least, "u", "left")
+    return moved.select(F.col("v").alias("src"), F.coalesce("m", "u").alias("dst"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of these."""
-    least = e.groupBy("src").agg(F.min("dst").alias("m"))
+    least = stored(e.groupBy("src").agg(F.min("dst").alias("m")), "least")
     return e.join(least, "src").where("dst > m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(least.select("src", F.col("m").alias("dst")))
 
 
@@ -31,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now["n"]:
             break
         state = now
-        e = stored(_small(_large(e).distinct()).distinct(), "edges")
+        e = stored(_large(e).distinct(), "edges")
+        e = stored(_small(e).distinct(), "edges")
     return e.select(F.col("src").alias("node"), F.col("dst").alias("comp")).union(e.select("dst", "dst").distinct().toDF("node", "comp"))

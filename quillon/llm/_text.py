@@ -1,20 +1,24 @@
 """Whole-batch word hashing over Arrow string buffers: no Python work per word or per document.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed. Equal words have
-equal hashes wherever they stand, so long texts are hashed piece by piece, cut between words.
+A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed; words of over LONG bytes,
+for which such polynomials can be made to collide, take xxh3 of their bytes. Equal words have equal hashes wherever
+they stand, so long texts are hashed piece by piece, cut between words.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _B = 0xD6E8FEB86659FD93
 _INV = pow(_B, -1, 1 << 64)
 PIECE = 1 << 20
+LONG = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -42,6 +46,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: a worker goes on to other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(33))
     h *= U(0xFF51AFD7ED558CCD)
@@ -88,7 +100,10 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
             power, inverse = _tables(len(low))
             sums = np.zeros(len(low) + 1, dtype=U)
             np.cumsum((low.astype(U) + U(1)) * power[: len(low)], out=sums[1:])
-            hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15)))
+            h = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) * U(0x9E3779B97F4A7C15))
+            for i in np.flatnonzero(e - s > LONG).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(low[s[i] : e[i]].tobytes())
+            hashes.append(h)
             begins.append(s + at)
             ends.append(e + at)
         at = to
@@ -140,7 +155,7 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=U)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 * PIECE) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold at most so many bytes (one row at least)."""
     n = batch.num_rows
     if not n:

@@ -1,22 +1,26 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 ``build_index`` cuts the corpus into segments of bounded size and stores for each segment a sorted term table and the
-positions of every term (term postings; positions run over the segment's words, with the documents' offsets beside).
-Searches take a phrase's rarest terms in a segment first and intersect the offset-adjusted posting lists; a phrase
-with an absent term costs a binary search. Whole matches stay inside a document.
+postings of every term (positions run over the segment's words, with the documents' offsets beside). Searches take a
+phrase's rarest terms in a segment first and intersect the offset-adjusted posting lists; a phrase with an absent term
+costs a binary search. Whole matches stay inside a document.
 
 Scale: indexing is one pass without a shuffle, a segment is about SEGMENT bytes of text (one longer text makes one
-longer segment), and the index is a table in the shared folder, so that lost executors cost a re-read. The benchmark
-is taken in blocks of at most BLOCK characters, each broadcast and run against all segments; only with several blocks
-are the documents' rows grouped. The hit share of a hot passage does not matter: nothing is grouped by passage.
+longer segment), and the index is a table in the shared folder, so that lost executors cost a re-read. Workers hold one
+segment at a time. The benchmark is taken in blocks of at most BLOCK characters (longer items are cut between words,
+overlapping by a window); each is broadcast, run against all segments, stored and released before the next. Only with
+several blocks are the documents' rows grouped. The hit share of a hot passage does not matter: nothing is grouped by
+passage.
 
 Edge cases: null and empty texts have no words (n_words 0, no hits); items without words have no windows; a null
 item_id counts as an item named by the empty string; repeated item_ids count once; repeated documents are judged row by
-row; other columns are not read; an empty benchmark leaves every document clean.
+row, and text_hash (xxhash64 of the text) tells rows of one doc_id apart; other columns are not read; an empty benchmark
+leaves every document clean.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,10 +34,12 @@ from . import _text
 from ._store import stored
 
 WINDOW = 10
-SEGMENT = 2 << 20
-BLOCK = 8_000_000
-INDEX = "segment string, doc_ids array<long>, doc_at binary, terms binary, starts binary, positions binary"
-HITS = "segment string, ord int, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+SEGMENT = 1 << 20
+BLOCK = 4_000_000
+INDEX = "segment string, doc_ids array<long>, hashes array<long>, doc_at binary, terms binary, starts binary, positions binary"
+HITS = "segment string, ord int, doc_id long, text_hash long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+#: Rows of the index that a scan decodes at once; a row has about three times SEGMENT bytes.
+SCAN_ROWS = 4
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,13 +50,14 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ranked = h[order]
             first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), ranked[1:] != ranked[:-1]]))
             parts = at.astype(np.int32), ranked[first], np.append(first, len(h)).astype(np.int32), order.astype(np.int32)
-            cols = [pa.array([uuid.uuid4().hex]), pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64()))]
-            yield pa.record_batch(cols + [pa.array([x.tobytes()], pa.binary()) for x in parts], names=["segment", "doc_ids", "doc_at", "terms", "starts", "positions"])
+            cols = [pa.array([uuid.uuid4().hex]), *(pa.array([batch.column(c).cast(pa.int64()).to_pylist()], pa.list_(pa.int64())) for c in ("doc_id", "text_hash"))]
+            yield pa.record_batch(cols + [pa.array([x.tobytes()], pa.binary()) for x in parts], names=["segment", "doc_ids", "hashes", "doc_at", "terms", "starts", "positions"])
+    _text.release()
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of docs (doc_id, text)."""
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_segments, INDEX), "postings")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_segments, INDEX), "postings")
 
 
 class Phrases(NamedTuple):
@@ -81,10 +88,21 @@ def windows(texts: list[str | None], size: int = WINDOW) -> list[Phrases]:
 
 
 class Segment:
-    def __init__(self, row: dict):
-        self.doc_at, self.terms, self.starts, self.positions = (np.frombuffer(row[c], t) for c, t in (("doc_at", np.int32), ("terms", np.uint64), ("starts", np.int32), ("positions", np.int32)))
-        self.term_at = np.empty(len(self.positions), dtype=np.int32)  # the postings seen from the positions' side
-        self.term_at[self.positions] = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))
+    """One row of the index; its arrays lie in the Arrow buffers."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.doc_at, self.terms, self.starts, self.positions = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("doc_at", np.int32), ("terms", np.uint64), ("starts", np.int32), ("positions", np.int32)))
+        self.doc_ids, self.hashes = (batch.column(c)[i].values for c in ("doc_ids", "hashes"))
+        self.name = batch.column("segment")[i].as_py()
+        self.stride = len(self.positions) + 1
+        # All posting lists end to end, each moved to a range of its own: one sorted array.
+        self.postings = np.repeat(np.arange(len(self.terms), dtype=np.int64) * self.stride, np.diff(self.starts)) + self.positions
+
+    def holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in its term's posting list."""
+        at = term * self.stride + position
+        i = np.minimum(np.searchsorted(self.postings, at), len(self.postings) - 1)
+        return self.postings[i] == at
 
     def lookup(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ordinal in the segment and number of postings (0: absent) of each term."""
@@ -116,7 +134,7 @@ class Segment:
             phrase, start = phrase[keep], start[keep]
             for k in range(1, length):
                 off = by[phrase, k]
-                keep = self.term_at[start + off] == term[own[phrase], off]
+                keep = self.holds(term[own[phrase], off], start + off)
                 phrase, start = phrase[keep], start[keep]
             found.append((own[phrase], start))
             at = to
@@ -144,8 +162,8 @@ def _hits(phrases: list[Phrases], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                seg, n = Segment(row), len(row["doc_ids"])
+                seg = Segment(batch, i)
+                n = len(seg.doc_ids)
                 cover, owned = np.zeros(int(seg.doc_at[-1]) + 1, np.int64), []
                 for p in phrases:
                     which, start = seg.exact(p.terms)
@@ -173,44 +191,69 @@ def _hits(phrases: list[Phrases], names: list[str]):
                     for d, item in np.unique(np.concatenate(owned), axis=0).tolist():
                         items[d].add(names[item])
                 yield pa.record_batch(
-                    [pa.array([row["segment"]] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(seg.doc_at).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                    names=["segment", "ord", "doc_id", "n_words", "spans", "items"],
+                    [pa.array([seg.name] * n, pa.string()), pa.array(range(n), pa.int32()), seg.doc_ids, seg.hashes, pa.array(np.diff(seg.doc_at).astype(np.int64)), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    names=["segment", "ord", "doc_id", "text_hash", "n_words", "spans", "items"],
                 )
+        _text.release()
 
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[str], list[str | None]]]:
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _pieces(text: str, size: int, most: int) -> Iterator[str]:
+    """The text, or pieces of about most characters that hold each run of size words in one of them at least."""
+    if len(text) <= most:
+        yield text
+        return
+    begin, starts = 0, []
+    for m in _WORD.finditer(text):
+        starts.append(m.start())
+        if m.end() - begin > most and len(starts) >= size:
+            yield text[begin : m.end()]
+            starts = starts[len(starts) - size + 1 :]
+            begin = starts[0] if starts else m.end()
+    if len(starts) >= size or not begin:
+        yield text[begin:]
+
+
+def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list[str], list[str | None]]]:
     names, texts, held = [], [], 0
     for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        names.append(r[0] or "")
-        texts.append(r[1])
-        held += len(r[1] or "")
-        if held >= BLOCK:
-            yield names, texts
-            names, texts, held = [], [], 0
+        for piece in _pieces(r[1] or "", size, BLOCK):
+            names.append(r[0] or "")
+            texts.append(piece)
+            held += len(piece)
+            if held >= BLOCK:
+                yield names, texts
+                names, texts, held = [], [], 0
     yield names, texts
 
 
 def phrase_hits(index: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """For each document: n_words, the word spans that windows of items cover, and the items found (HITS)."""
+    """For each document: n_words, the word spans that windows of items cover, and the items found (HITS), stored."""
     spark, parts = index.sparkSession, []
-    for names, texts in _blocks(items):
+    for names, texts in _blocks(items, size):
         if texts or not parts:
             held = spark.sparkContext.broadcast((windows(texts, size), names))
-            parts.append(index.mapInArrow(lambda b, held=held: _hits(*held.value)(b), HITS))
+            parts.append(stored(index.mapInArrow(lambda b, held=held: _hits(*held.value)(b), HITS), "hits", SCAN_ROWS))
+            held.destroy()
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("segment", "ord").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return out.groupBy("segment", "ord").agg(*(F.max(c).alias(c) for c in ("doc_id", "text_hash", "n_words")), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def proximity_hits(index: DataFrame, items: DataFrame, slop: int = 2) -> DataFrame:
-    """item, doc_id, word: where every word of an item stands at most slop words from its place, counted from the rarest."""
+    """item, doc_id, word: where every word of an item stands at most slop words from its place, counted from the rarest.
+
+    Items are whole here (one longer than BLOCK makes a longer block); an item with an absent term costs one lookup.
+    """
     spark, out = index.sparkSession, None
-    for names, texts in _blocks(items):
+    for names, texts in _blocks(items, 1 << 62):
         h, _, _, at = _text.words(*_text.buffer_of(pa.array(texts, pa.string())), _text.ALNUM)
         held = spark.sparkContext.broadcast((names, h, at))
 
@@ -218,23 +261,25 @@ def proximity_hits(index: DataFrame, items: DataFrame, slop: int = 2) -> DataFra
             names, h, at = held.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                    seg, got = Segment(row), []
-                    for k, name in enumerate(names):
+                    seg, got = Segment(batch, i), []
+                    absent = np.concatenate([[0], np.cumsum(seg.lookup(h)[1] == 0)])
+                    for k in np.flatnonzero((absent[at[1:]] == absent[at[:-1]]) & (at[1:] > at[:-1])).tolist():
                         for s in seg.near(h[at[k] : at[k + 1]], slop).tolist():
-                            d = min(max(int(np.searchsorted(seg.doc_at, max(s, 0), side="right")) - 1, 0), len(row["doc_ids"]) - 1)
-                            got.append((name, row["doc_ids"][d], s - int(seg.doc_at[d])))
+                            d = min(max(int(np.searchsorted(seg.doc_at, max(s, 0), side="right")) - 1, 0), len(seg.doc_ids) - 1)
+                            got.append((names[k], seg.doc_ids[d].as_py(), s - int(seg.doc_at[d])))
                     cols = list(zip(*got, strict=True)) or [(), (), ()]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["item", "doc_id", "word"])
+            _text.release()
 
-        part = index.mapInArrow(run, "item string, doc_id long, word long")
+        part = stored(index.mapInArrow(run, "item string, doc_id long, word long"), "near-hits", SCAN_ROWS)
+        held.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash for each row of docs."""
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a.end, x.e).alias("end"), (a.n + F.greatest(F.lit(0), x.e - F.greatest(x.s, a.end))).alias("n")), lambda a: a.n.cast("long"))
     return phrase_hits(build_index(docs), items, size).select(
-        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "text_hash"
     )

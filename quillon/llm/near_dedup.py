@@ -6,14 +6,18 @@ registers borrow along a fixed random order (one order for all texts, so that re
 Texts with equal registers in any band become candidates. The estimate, corrected for chance collisions, drops
 candidates far below the threshold; whatever is left is confirmed on full sets.
 
-Scale: equal sets are one node; a band's bucket gives edges to its least member only; candidate components are cut
-into blocks of bounded size, and pairs of blocks are compared by matrix products, so no task holds a whole group and
-no pair is ever emitted that isn't part of a spanning forest. Within one candidate component of m different sets the
-blocks still make m * m / 2 comparisons. All state lies in tables in the shared folder.
+Scale: equal sets are one node with a number of its own. Work on pairs goes in steps, each in blocks of bounded size and
+none emitting more than a spanning forest:
+1. each member of a bucket is estimated against the bucket's least; where that fails in a bucket of three or more, it is
+   estimated against all members of that bucket, registers only;
+2. each candidate is confirmed on full sets against its likeliest neighbour;
+3. only components that are still in several parts compare whole sets between their parts, the largest one not with itself.
+So a group of copies costs a comparison for each copy. All state lies in tables in the shared folder; texts are moved
+for candidates alone, but for one shuffle that finds them.
 
 Edge cases: null or empty texts have empty sets, link with nothing and are their own component. Repeated rows (one
-doc_id, one text) share a component. A row whose doc_id is null takes the least doc_id of its component, or null, and
-stays if null. Other columns are not read.
+doc_id, one text) share a component; rows of one doc_id with different texts are judged apart. A row whose doc_id is null
+links like any other; it takes the least doc_id of its component, or null, and is kept. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from ._store import stored
 REGISTERS = 252
 MANTISSA = 10
 SLACK = 0.14  # five standard deviations of the estimate at a similarity of 0.8
-BLOCK_DOCS, BLOCK_SHINGLES = 768, 1_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_SKETCHES = 1024
 
 _order = np.array([np.roll(np.random.default_rng(i).permutation(REGISTERS), 0) for i in range(REGISTERS)])
 for _i in range(REGISTERS):
@@ -94,124 +99,235 @@ def _sketches(k: int, r: int):
                 m = np.stack(regs)
                 keys = band_keys(m, r)
                 yield pa.record_batch(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "digest", "registers", "bands"],
+                    [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in m], pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "registers", "bands"],
                 )
+        _text.release()
 
     return run
 
 
-def _near(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("registers", "others"))
-            keep = estimate((x == y).mean(axis=1)) >= threshold - SLACK
-            keep |= b.column("crowded").to_numpy(zero_copy_only=False)
-            yield b.select(["src", "dst"]).filter(pa.array(keep))
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, dst, estimate of each pair of sketches."""
+    for b in batches:
+        if b.num_rows:
+            e = estimate((_registers(b.column("registers")) == _registers(b.column("others"))).mean(axis=1))
+            yield pa.record_batch([b.column("src"), b.column("dst"), b.column("crowded"), pa.array(e)], names=["src", "dst", "crowded", "estimate"])
 
-    return run
 
+class Forest:
+    """Union-find over 0 to n - 1."""
 
-def linked(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set, the index of a representative reached through pairs with 100 * intersection >= percent * union."""
-    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
-    root = list(range(m))
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(i: int) -> int:
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    if m == 2:
-        common = np.array([[0, len(np.intersect1d(sets[0], sets[1], assume_unique=True))], [0, 0]])
-    else:
-        values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(m), sizes)
-        shared = count[column] > 1
-        row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-        width = int((count > 1).sum())
-        common = np.zeros((m, m), dtype=np.float64)
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _grouped(rows: Iterator[tuple], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with the same first width values; rows come sorted by these."""
+    key, held = None, []
+    for r in rows:
+        if r[:width] != key:
+            if held:
+                yield key, held
+            key, held = r[:width], []
+        held.append(r[width:])
+    if held:
+        yield key, held
+
+
+def _edges(found: list[tuple]) -> pa.RecordBatch:
+    src, dst, e = zip(*found, strict=True) if found else ((), (), ())
+    return pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(e, pa.float64())], names=["src", "dst", "estimate"])
+
+
+def _crowd(least: float):
+    """Rows (band, i, j, all, node, registers) sorted by block: the first of each block against all of it, by estimate; a spanning forest of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("band", "i", "j", "all", "node", "registers")), strict=True))
+        for _, own in _grouped(rows, 3):
+            few, every = ([r for r in own if r[0] is x] for x in (False, True))
+            if not few or not every:
+                continue
+            at = {n: i for i, n in enumerate(sorted({r[1] for r in own}))}
+            forest, found = Forest(len(at)), []
+            y = np.stack([np.frombuffer(r[2], np.uint16) for r in every])
+            for _, node, raw in few:
+                e = estimate((y == np.frombuffer(raw, np.uint16)).mean(axis=1))
+                for k in np.flatnonzero(e >= least).tolist():
+                    other = every[k][1]
+                    if other != node and forest.join(at[node], at[other]):
+                        found.append((max(node, other), min(node, other), float(e[k])))
+            if found:
+                yield _edges(found)
+        _text.release()
+
+    return run
+
+
+def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(i, j) of every pair of a first and a second set with 100 * intersection >= percent * union."""
+    m, n = len(first), len(second)
+    a, b = (np.array([len(x) for x in sets], dtype=np.int64) for sets in (first, second))
+    common = np.zeros((m, n), dtype=np.float64)
+    if min(m, n) == 1:
+        one, rest, own = (first[0], second, common[0]) if m == 1 else (second[0], first, common[:, 0])
+        for k, x in enumerate(rest):
+            if len(one) and len(x):
+                own[k] = (one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x).sum()
+    elif m and n:
+        values, column = np.unique(np.concatenate(first + second), return_inverse=True)
+        row, cut = np.repeat(np.arange(m + n), np.concatenate([a, b])), int(a.sum())
+        both = np.zeros(len(values), bool)
+        both[column[:cut]] = True
+        also = np.zeros(len(values), bool)
+        also[column[cut:]] = True
+        both &= also
+        shared = both[column]
+        row, column = row[shared], (np.cumsum(both) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        for at in range(0, width, 4096):
-            a, b = np.searchsorted(column, [at, at + 4096])
-            x = np.zeros((m, min(4096, width - at)), dtype=np.float32)
-            x[row[a:b], column[a:b] - at] = 1
-            common += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - common
-    i, j = np.nonzero(np.triu((100 * common >= percent * union) & (union > 0), 1))
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(m)]
+        for at in range(0, int(both.sum()), 2048):
+            p, q = np.searchsorted(column, [at, at + 2048])
+            x = np.zeros((m + n, 2048), dtype=np.float32)
+            x[row[p:q], column[p:q] - at] = 1
+            common += x[:m] @ x[m:].T
+    union = a[:, None] + b[None, :] - common
+    return list(zip(*(x.tolist() for x in np.nonzero((100 * common >= percent * union) & (union > 0))), strict=True))
 
 
 def _confirm(k: int, percent: int):
-    """Rows sorted by block pair; yields (src, dst) of a spanning forest of each pair of blocks."""
+    """Rows (comp, i, j, all, node, text) sorted by block: the first of each block against all of it on full sets; a spanning forest of the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held = None, [], []
+        def rows():
+            for whole in batches:
+                for batch in _text.slices(whole, "text"):
+                    yield from zip(*(batch.column(x).to_pylist() for x in ("comp", "i", "j", "all", "node")), _text.sets(batch.column("text"), k), strict=True)
+
+        for _, own in _grouped(rows(), 3):
+            few, every = ([r for r in own if r[0] is x] for x in (False, True))
+            if not few or not every:
+                continue
+            at = {n: i for i, n in enumerate(sorted({r[1] for r in own}))}
+            forest, found = Forest(len(at)), []
+            for x, y in linked([r[2] for r in few], [r[2] for r in every], percent):
+                one, other = few[x][1], every[y][1]
+                if one != other and forest.join(at[one], at[other]):
+                    found.append((max(one, other), min(one, other), 1.0))
+            if found:
+                yield _edges(found)
+        _text.release()
 
-        def close() -> tuple[list, list]:
-            if len(ids) < 2:
-                return [], []
-            order = np.argsort(ids, kind="stable")
-            roots = linked([held[i] for i in order], percent)
-            own = [ids[i] for i in order]
-            pairs = {(own[i], own[r]) for i, r in enumerate(roots) if own[i] != own[r]}
-            return [a for a, _ in pairs], [b for _, b in pairs]
+    return run
 
-        for whole in batches:
-            for batch in _text.slices(whole, "text"):
-                src, dst = [], []
-                for c, i, j, doc, s in zip(*(batch.column(x).to_pylist() for x in ("comp", "i", "j", "doc_id")), _text.sets(batch.column("text"), k), strict=True):
-                    if (c, i, j) != key:
-                        a, b = close()
-                        src += a
-                        dst += b
-                        key, ids, held = (c, i, j), [], []
-                    ids.append(doc)
-                    held.append(s)
-                yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-        a, b = close()
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
-    return run
+_EDGE = "src long, dst long, estimate double"
+_ROW = ("row_none", "row_id", "text_hash")
+
+
+def row_keys(df: DataFrame) -> DataFrame:
+    """df (doc_id, text) with keys that tell its rows apart, null-safe; equal keys: a repeated row."""
+    return df.withColumns({"row_none": F.col("doc_id").isNull(), "row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+
+
+def _blocks(few: DataFrame, every: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """Rows of few and every (key, node) dealt to blocks (key, i, j, all), so that each of few meets each of every once; sizes has few_blocks and all_blocks of each key."""
+    put = lambda df, own, other, mine, theirs, flag: (
+        df.join(sizes, key).withColumn(mine, F.pmod(F.xxhash64("node"), own).cast("int")).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(key, "i", "j", F.lit(flag).alias("all"), "node")
+    )
+    return put(few, F.col("few_blocks"), "all_blocks", "i", "j", False).unionByName(put(every, F.col("all_blocks"), "few_blocks", "j", "i", True))
+
+
+def _candidates(nodes: DataFrame, least: float) -> DataFrame:
+    """src, dst, estimate (src > dst): a forest, over whose trees every pair estimated at least at ``least`` that shares a band is connected."""
+    member = nodes.select("node", F.explode("bands").alias("band"))
+    bucket = member.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("most"), F.count("*").alias("m")).where("dst < most")
+    inside = stored(member.join(bucket, "band").where("node > dst").select("band", "node", "dst", "m"), "buckets")
+    pairs = inside.groupBy(F.col("node").alias("src"), "dst").agg(F.max(F.col("m") > 2).alias("crowded"))
+    regs = nodes.select("node", "registers")
+    judged = stored(
+        pairs.join(regs.withColumnRenamed("node", "src"), "src").join(regs.select(F.col("node").alias("dst"), F.col("registers").alias("others")), "dst").mapInArrow(_judge, "src long, dst long, crowded boolean, estimate double"),
+        "judged",
+    )
+    near = judged.where(F.col("estimate") >= least).select("src", "dst", "estimate")
+    failed = judged.where((F.col("estimate") < least) & F.col("crowded")).select(F.col("src").alias("node"), "dst")
+    few = stored(inside.where("m > 2").join(failed, ["node", "dst"]).select("band", "node"), "crowded")
+    held = few.groupBy("band").agg(F.count("*").alias("few"))
+    sizes = stored(inside.join(held, "band").groupBy("band").agg((F.first("m") / BLOCK_SKETCHES).alias("m"), F.first("few").alias("few"), F.first("dst").alias("node")).select("band", "node", F.ceil("m").cast("int").alias("all_blocks"), F.ceil(F.col("few") / BLOCK_SKETCHES).cast("int").alias("few_blocks")), "sizes")
+    every = inside.select("band", "node").join(sizes.select("band"), "band").unionByName(sizes.select("band", "node"))
+    dealt = _blocks(few, every, "band", sizes.drop("node")).join(regs, "node")
+    crowd = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_crowd(least), _EDGE)
+    return stored(near.unionByName(crowd), "near")
+
+
+def _verified(nodes: DataFrame, texts: DataFrame, near: DataFrame, percent: int, k: int) -> DataFrame:
+    """node, comp of every node that has a confirmed link."""
+    cand = stored(components(near), "candidates")
+    own = nodes.select("node", "n", "own.*").withColumnRenamed("none", "row_none").join(cand, "node")
+    whole = row_keys(texts).dropDuplicates(list(_ROW)).select(*_ROW, "text")
+    held = stored(own.join(whole, list(_ROW)).select("node", "n", "comp", "text"), "held")
+    run = lambda dealt: dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_confirm(k, percent), _EDGE)
+    text = held.select("node", "text")
+
+    # Each candidate against its likeliest neighbour; the children of one neighbour are dealt by number.
+    parent = stored(near.where("src > dst").groupBy(F.col("src").alias("node")).agg(F.max_by("dst", F.struct("estimate", "dst")).alias("comp")), "parents")
+    parts = parent.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("all_blocks")).withColumn("few_blocks", F.lit(1))
+    centre = parts.select("comp", F.col("comp").alias("node"))
+    links = stored(run(_blocks(centre, parent.select("comp", "node"), "comp", stored(parts, "parts")).join(text, "node")), "links")
+    sure = stored(components(links), "sure")
+
+    # Components in several parts: whatever is outside the largest part against everything.
+    told = held.select("node", "n", "comp").join(sure.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    part = told.groupBy("comp", "part").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = part.groupBy("comp").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max("m").alias("core_m")).where("parts > 1")
+    sizes = stored(
+        sizes.select("comp", "core", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("all_blocks"), F.greatest(F.ceil((F.col("m") - F.col("core_m")) / BLOCK_DOCS), F.ceil(F.col("n") * (F.col("m") - F.col("core_m")) / F.col("m") / BLOCK_SHINGLES)).cast("int").alias("few_blocks")), "sizes"
+    )
+    split = told.select("comp", "node", "part").join(sizes.select("comp", "core"), "comp")
+    more = run(_blocks(split.where("part <> core").select("comp", "node"), split.select("comp", "node"), "comp", sizes.drop("core")).join(text, "node"))
+    return stored(components(sure.select(F.col("node").alias("src"), F.col("comp").alias("dst")).unionByName(more.select("src", "dst"))), "classes")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); see the module."""
-    spark, r = docs.sparkSession, rows_per_band(percent / 100)
+    """doc_id, n_shingles, component_id, kept, text_hash, stays for each row of docs (doc_id, text); see the module.
+
+    kept goes by the ids alone (doc_id = component_id, or null). stays marks one row of each component, that of the
+    least doc_id (a null only if all are) and then of the least text_hash, and every row with an empty set; repeats of
+    that row are marked as well.
+    """
+    r = rows_per_band(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(texts.mapInArrow(_sketches(k, r), "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>"), "sketches")
+    seen = stored(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketches(k, r), "doc_id long, text_hash long, n_shingles long, digest binary, registers binary, bands array<long>"), "sketches")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_hash")
     nodes = stored(
-        seen.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")),
+        seen.where("n_shingles > 0").groupBy("digest").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    member = nodes.select("node", F.explode("bands").alias("band"))
-    bucket = member.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("most"), F.count("*").alias("m")).where("dst < most")
-    edges = member.join(bucket, "band").where("node > dst").groupBy(F.col("node").alias("src"), "dst").agg(F.max(F.col("m") > 2).alias("crowded"))
-    regs = nodes.select("node", "registers")
-    near = (
-        edges.join(regs.withColumnRenamed("node", "src"), "src").join(regs.select(F.col("node").alias("dst"), F.col("registers").alias("others")), "dst")
-        .mapInArrow(_near(percent / 100), "src long, dst long")
-    )
-    cand = components(near)
-    size = nodes.select("node", "n").join(cand, "node")
-    total = size.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    block = size.join(total, "comp").withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = block.select("comp", "node", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(b, x) AS i, greatest(b, x) AS j))")).alias("p")).select("comp", "node", "p.i", "p.j")
-    held = texts.join(dealt, texts.doc_id == dealt.node).select("comp", "i", "j", "doc_id", "text")
-    groups = held.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    links = groups.mapInArrow(_confirm(k, percent), "src long, dst long")
-    final = components(links)
-    classes = nodes.join(final, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    final = _verified(nodes, texts, _candidates(nodes, percent / 100 - SLACK), percent, k)
+    classes = stored(nodes.select("digest", "node", "own").join(final, "node", "left").select("digest", "own", F.coalesce("comp", "node").alias("comp")), "digests")
+    least = stored(classes.groupBy("comp").agg(F.min("own").alias("least")), "least")
+    named = stored(classes.join(least, "comp").select("digest", "least"), "named")
     return (
-        seen.select("doc_id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+        seen.select("doc_id", "n_shingles", "text_hash", "digest")
+        .join(named, "digest", "left")
+        .withColumn("component_id", F.when(F.col("least").isNull(), F.col("doc_id")).when(~F.col("least.none"), F.col("least.row_id")))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull())
+        .withColumn("stays", F.col("least").isNull() | (F.col("least") == own))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "stays")
     )

@@ -8,7 +8,7 @@ Training takes at most TRAIN_ROWS labelled rows, those of least hash of doc_id (
 that many whole texts reach the driver). Scoring is one pass over all rows and whole texts without a shuffle.
 
 Edge cases: null and empty texts score by the bias alone; rows with a null label don't train; without any training
-row of either class every score is the share of the positive class, or 0. Other columns are not read.
+row of either class every score is the share of the positive class, held between 1e-6 and 1 - 1e-6. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,6 +68,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(both >> np.uint64(32), np.arange(batch.num_rows + 1))
             low = both.astype(np.uint32)
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "label", "features"])
+    _text.release()
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray, float]:
@@ -82,8 +83,6 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray
             b = -bz / ((BETA + np.sqrt(bq)) / ALPHA)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35)))
             g = p - labels[i]
-            if abs(g) < 1e-4:
-                continue
             z[x] += g - (np.sqrt(q[x] + g * g) - qx) / ALPHA * w
             q[x] += g * g
             bz += g - (np.sqrt(bq + g * g) - np.sqrt(bq)) / ALPHA * b
@@ -151,5 +150,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             whole = pa.record_batch([pa.array(s, pa.string(), from_pandas=True)], names=["text"])
             parts = [scores(b.column(0), model, seen) for b in _text.slices(whole, "text")]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        _text.release()
 
     return docs.withColumn("score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -114,7 +114,8 @@ def shingles(t, k=5):
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
-def near_duplicates(docs, percent):
+def groups(docs, percent):
+    """Sets, ids, and a root for each row."""
     sets = [shingles(text(t)) for t in docs.text]
     ids = [number(i) for i in docs.doc_id]
     root = list(range(len(ids)))
@@ -136,12 +137,29 @@ def near_duplicates(docs, percent):
     for (a, b), n in common.items():
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             root[find(a)] = find(b)
+    return sets, ids, [find(i) for i in range(len(ids))]
+
+
+def near_duplicates(docs, percent):
+    sets, ids, roots = groups(docs, percent)
     least = {}
-    for i, d in enumerate(ids):
-        r = find(i)
+    for r, d in zip(roots, ids, strict=True):
         if d is not None and (r not in least or d < least[r]):
             least[r] = d
-    return [(d, len(sets[i]), c := least.get(find(i), d), d is None or d == c) for i, d in enumerate(ids)]
+    return [(d, len(sets[i]), c := least.get(roots[i], d), d is None or d == c) for i, d in enumerate(ids)]
+
+
+def one_of_each(docs, percent):
+    """(doc_id, text) of one row of each group, of the least id (null last); each different row with an empty set stays. Where a group's least id has several texts, any of these is as good."""
+    sets, ids, roots = groups(docs, percent)
+    best, out = {}, set()
+    for i, (d, t) in enumerate(zip(ids, docs.text, strict=True)):
+        row = (d, none(t))
+        if not sets[i]:
+            out.add(row)
+        elif roots[i] not in best or (d is not None and (best[roots[i]][0] is None or d < best[roots[i]][0])):
+            best[roots[i]] = row
+    return [*best.values(), *sorted(out, key=repr)]
 
 
 def warc(pages):

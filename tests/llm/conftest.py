@@ -14,7 +14,8 @@ def documents():
     texts = [
         (1, base), (2, base), (3, base.replace("omega", "Omega")), (4, base + " seven"), (5, None), (6, ""), (7, " \t\n"), (8, "one"), (9, "One"), (10, "one two three four"), (11, LONG), (12, LONG + " end"), (13, SECRET),
         (14, "é" + SECRET + " 𝒳 " + SECRET), (15, f"before {ITEM} after"), (16, f"Before, {ITEM.upper()}! after"), (17, "a b c"), (18, "Ünïcödé ﬁ Ⅷ ẞ ß Å e\u0301\u0323 " * 3), (19, "日本語 テキスト 한국어 🙂🙂 \u200d"), (20, "short phrase"),
-        (21, "x" * 5000), (1, base), (None, base), (None, "a lonely row without an id that stands alone in the table"), (None, None), (-5, base.replace("alpha", "aleph")), (22, "\x0b\x0c\r\n a\u00a0b \u2003c"), (23, "idiot moron stupid hate you all"), (24, "a\u0000b\u0000"),
+        (21, "x" * 5000), (1, base), (None, base), (None, "a lonely row without an id that stands alone in the table"), (None, None), (-5, base.replace("alpha", "aleph")), (22, "\x0b\x0c\r\n a\u00a0b \u2003c"), (23, "idiot moron stupid hate you all"), (24, "a\u0000b\u0000"), (None, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 w28 w29 w30 w31 w32 w33 w34 w35 w36 w37 w38 w39"),
+        (30, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 w28 w29 w30 w31 w32 w33 w34 w35 w36 w37 w38"), (29, "v1 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18 w19 w20 w21 w22 w23 w24 w25 w26 w27 w28 w29 w30 w31 w32 w33 w34 w35 w36 w37 w38 w39 w40"),
     ]
     n = len(texts)
     return pa.table(
