@@ -1,8 +1,12 @@
 """Stages that turn documents into clean training text.
 
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns the columns of
-documents; the last returns token ids. Between stages the rows are written as Parquet in the shared folder and read again.
-Rows keep their other columns; n_chars follows the text where a stage changes it.
+documents that are there (COLUMNS; others end here); the last returns token ids. Between stages the rows are written as
+Parquet in the shared folder and read again, and what a stage wrote for itself is deleted.
+
+Decisions fall row by row: rows of one doc_id with different texts, or without a doc_id, are told apart by the text's
+hash. All stages take empty tables, null and empty texts (no toxic word, no set, no window, no secret, no token), very
+long texts (never cut) and other columns of any name.
 """
 
 from __future__ import annotations
@@ -11,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontam, near_dedup, secret_scan, toxicity
-from quillon.llm._store import stored
+from quillon.llm._store import forget, mark, new_path, stored
 
-#: Stages share one model or table each with the sf_dir's labels and benchmark; nothing is passed between them but rows.
+#: Stages share the sf_dir's labels and benchmark; nothing is passed between them but rows.
 TOXIC_AT = 0.3
 NEAR_PERCENT = 80
+#: Keys of rows to drop are broadcast up to this number (about 32 bytes each), else joined.
+MOST_BROADCAST = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,33 +30,43 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under TOXIC_AT; trained on all labels of sf_dir within toxicity.TRAIN_ROWS."""
+    """Rows whose toxicity score is under TOXIC_AT; trained on all labels of sf_dir within toxicity.TRAIN_ROWS.
+
+    Null and empty texts have the bias alone as their score; without labels of both classes the share of toxic ones decides for all rows.
+    """
     corpus, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(corpus, labels, "toxic")
     return _columns(toxicity.score(docs, model, TOXIC_AT).where("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least doc_id. Rows of a null doc_id stay; of repeated rows one stays."""
-    found = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
-    return _columns(kept.dropDuplicates(["doc_id", "text"]))
+    """One row of each group of near duplicates: that of the least doc_id (null only if all are), then of the least text hash.
+
+    Of repeated rows (one doc_id or none, one text) one stays. Texts are shuffled once, after copies of a row are dropped.
+    """
+    keys = ["row_none", "row_id", "text_hash"]
+    found = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("stays")
+    stays = found.select(F.col("doc_id").isNull().alias("row_none"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_hash").distinct()
+    return _columns(near_dedup.row_keys(docs).dropDuplicates(keys).join(stays, keys, "left_semi"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return _columns(docs.join(found, docs.doc_id.eqNullSafe(F.col("_id")), "left_anti"))
+    """Rows without a window of a benchmark item; each row by its own text."""
+    keys = ["row_none", "row_id", "text_hash"]
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    bad = stored(found.select(F.col("doc_id").isNull().alias("row_none"), F.coalesce("doc_id", F.lit(0)).alias("row_id"), "text_hash").distinct(), "contaminated")
+    few = bad.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return _columns(near_dedup.row_keys(docs).join(F.broadcast(bad) if few else bad, keys, "left_anti"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All rows, with secrets replaced by a mark; a null text stays null, and n_chars follows the text."""
     ratios = secret_scan.train(secret_scan.labelled_samples(spark))
     return _columns(secret_scan.redact(docs, ratios).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids of each document, and whether decoding the ids gives its text back."""
+    """doc_id, n_tokens, token_ids of each row, and whether decoding the ids gives its text back; null and empty texts have no ids."""
     import public_tokenizers as public
 
     path = public.path("byte_bpe_50k.tiktoken")
@@ -70,8 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, one after another."""
+    """The stages over documents, one after another; what they wrote on the way is deleted, but for the last one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = mark()
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        out = stage(spark, docs, sf_dir)
+        path = new_path(spark, name)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        forget(spark, begin, (path,))
     return STAGES[-1][1](spark, docs, sf_dir)
