@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._store import stored
@@ -28,14 +28,14 @@ def _small(e: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) for every node of an edge (src long, dst long; any order, repeats allowed, loops ignored)."""
-    e = stored(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst").distinct(), "edges")
-    state = None
+    e, state = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src > dst").distinct(), None
     while True:
         # A star forest is a fixed point: no node is both a centre and a leaf, and each leaf has one centre.
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")).first()
+        seen = Observation()
+        e = stored(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("s")), "edges")
+        now = seen.get
         if now == state or not now["n"]:
             break
         state = now
-        e = stored(_large(e).distinct(), "edges")
-        e = stored(_small(e).distinct(), "edges")
+        e = _small(stored(_large(e).distinct(), "edges")).distinct()
     return e.select(F.col("src").alias("node"), F.col("dst").alias("comp")).union(e.select("dst", "dst").distinct().toDF("node", "comp"))

@@ -64,10 +64,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets (n + 1) of a string array; a null is an empty text."""
+    """Bytes and offsets (n + 1) of a string (UTF-8) or binary array; a null is an empty text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_binary(texts.type):
+        texts = texts.cast(pa.large_string()).fill_null("")
+    else:
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
     off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

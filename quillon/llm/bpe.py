@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType
 
 _M = (1 << 64) - 1
-MATCHES, PIECES = 600_000, 300_000  # remembered by a worker
+MATCHES, PIECES = 250_000, 120_000  # remembered by a worker
 RUN_BYTES = 2 << 20
 MOST_TOKENS = PAIR = 1_000_000
 #: A split pattern whose matches have no white space after other characters, and none that looks behind.

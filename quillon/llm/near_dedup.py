@@ -278,30 +278,37 @@ def _candidates(nodes: DataFrame, least: float) -> DataFrame:
 
 def _verified(nodes: DataFrame, texts: DataFrame, near: DataFrame, percent: int, k: int) -> DataFrame:
     """node, comp of every node that has a confirmed link."""
-    cand = stored(components(near), "candidates")
+    cand = near.select(F.col("src").alias("node")).union(near.select("dst")).distinct()
     own = nodes.select("node", "n", "own.*").withColumnRenamed("none", "row_none").join(cand, "node")
     whole = row_keys(texts).dropDuplicates(list(_ROW)).select(*_ROW, "text")
-    held = stored(own.join(whole, list(_ROW)).select("node", "n", "comp", "text"), "held")
+    held = stored(own.join(whole, list(_ROW)).select("node", "n", "text"), "held")
     run = lambda dealt: dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_confirm(k, percent), _EDGE)
     text = held.select("node", "text")
 
     # Each candidate against its likeliest neighbour; the children of one neighbour are dealt by number.
-    parent = stored(near.where("src > dst").groupBy(F.col("src").alias("node")).agg(F.max_by("dst", F.struct("estimate", "dst")).alias("comp")), "parents")
-    parts = parent.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("all_blocks")).withColumn("few_blocks", F.lit(1))
+    parent = stored(near.groupBy(F.col("src").alias("node")).agg(F.max_by("dst", F.struct("estimate", "dst")).alias("comp")), "parents")
+    parts = stored(parent.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("all_blocks")).withColumn("few_blocks", F.lit(1)), "parts")
     centre = parts.select("comp", F.col("comp").alias("node"))
-    links = stored(run(_blocks(centre, parent.select("comp", "node"), "comp", stored(parts, "parts")).join(text, "node")), "links")
-    sure = stored(components(links), "sure")
-
-    # Components in several parts: whatever is outside the largest part against everything.
-    told = held.select("node", "n", "comp").join(sure.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    part = told.groupBy("comp", "part").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    sizes = part.groupBy("comp").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max("m").alias("core_m")).where("parts > 1")
-    sizes = stored(
-        sizes.select("comp", "core", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("all_blocks"), F.greatest(F.ceil((F.col("m") - F.col("core_m")) / BLOCK_DOCS), F.ceil(F.col("n") * (F.col("m") - F.col("core_m")) / F.col("m") / BLOCK_SHINGLES)).cast("int").alias("few_blocks")), "sizes"
-    )
-    split = told.select("comp", "node", "part").join(sizes.select("comp", "core"), "comp")
-    more = run(_blocks(split.where("part <> core").select("comp", "node"), split.select("comp", "node"), "comp", sizes.drop("core")).join(text, "node"))
-    return stored(components(sure.select(F.col("node").alias("src"), F.col("comp").alias("dst")).unionByName(more.select("src", "dst"))), "classes")
+    sure = stored(components(run(_blocks(centre, parent, "comp", parts).join(text, "node"))), "sure")
+
+    # Groups of parts that are near but not joined yet: whatever is outside the largest part of a group against everything.
+    part = lambda node, name: F.coalesce(name, node).alias(name)
+    to = lambda name, node: sure.select(F.col("node").alias(node), F.col("comp").alias(name))
+    ends = near.select("src", "dst").join(to("a", "src"), "src", "left").join(to("b", "dst"), "dst", "left").select(part("src", "a"), part("dst", "b"))
+    groups = components(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    told = held.select("node", "n").join(sure.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")).join(groups.withColumnRenamed("node", "part"), "part")
+    told = stored(told.select("comp", "part", "node", "n"), "told")
+    sizes = told.groupBy("comp", "part").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("comp").agg(F.max_by("part", F.struct("m", "part")).alias("core"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.max("m").alias("core_m"))
+    blocks = lambda share: F.greatest(F.ceil(F.col("m") * share / BLOCK_DOCS), F.ceil(F.col("n") * share / BLOCK_SHINGLES)).cast("int")
+    sizes = stored(sizes.select("comp", "core", blocks(F.lit(1.0)).alias("all_blocks"), blocks((F.col("m") - F.col("core_m")) / F.col("m")).alias("few_blocks")), "sizes")
+    few = told.join(sizes, "comp").where("part <> core").select("comp", "node")
+    more = stored(run(_blocks(few, told.select("comp", "node"), "comp", sizes.drop("core")).join(text, "node")), "more")
+    mine = told.select(F.col("node").alias("src"), F.col("part").alias("a"))
+    joined = components(more.join(mine, "src").join(mine.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    last = joined.select(F.col("node").alias("comp"), F.col("comp").alias("last"))
+    alone = joined.join(sure.select(F.col("comp").alias("node")), "node", "left_anti")
+    return sure.join(last, "comp", "left").select("node", F.coalesce("last", "comp").alias("comp")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:

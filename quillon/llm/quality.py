@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import _text
 from ._labels import sample
@@ -91,14 +92,13 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with a struct column stats."""
 
     def run(batches):
-        import pandas as pd
+        for texts in batches:
+            parts = [statistics(b.column(0)) for b in _text.slices(pa.record_batch([texts], names=["text"]), "text")]
+            x = np.concatenate(parts) if parts else np.zeros((0, len(STATS)))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], names=list(STATS))
+        _text.release()
 
-        for s in batches:
-            whole = pa.record_batch([pa.array(s, pa.string(), from_pandas=True)], names=["text"])
-            parts = [statistics(b.column(0)) for b in _text.slices(whole, "text")]
-            yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(STATS))), columns=list(STATS))
-
-    return docs.withColumn("stats", F.pandas_udf(run, ", ".join(f"{c} double" for c in STATS), F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("string")))
+    return docs.withColumn("stats", F.arrow_udf(run, ", ".join(f"{c} double" for c in STATS), ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string")))
 
 
 class Rule(NamedTuple):

@@ -18,8 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import _text
 from ._labels import sample
@@ -94,19 +96,17 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Model:
     """From docs (doc_id, text) and labels (doc_id, label); see the module for the bound."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample(labels, label, TRAIN_ROWS)), "doc_id")
-    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toArrow()
-    held = [np.frombuffer(x.as_py(), np.uint32) for x in got["features"]]
+    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toArrow().combine_chunks()
     ids, y = got["doc_id"].to_pylist(), got["label"].to_numpy().astype(np.float64)
-    del got
-    order = sorted(range(len(held)), key=lambda i: (ids[i], y[i], held[i].tobytes()))
-    rows, y = [held[i] for i in order], y[order]
-    del held
+    data, off = _text.buffer_of(got["features"])
+    flat, off = data.view(np.uint32), off // 4
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], xxhash.xxh3_64_intdigest(flat[off[i] : off[i + 1]])))
+    rows, y = [flat[off[i] : off[i + 1]] for i in order], y[order]
     none = np.zeros(0, np.uint32)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
-    every = np.concatenate(rows)
-    every.sort()
+    every = np.sort(flat)
     first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint32(1)) != 0)
     keys = every[first][np.diff(first, append=len(every)) >= LEAST_ROWS]
     del every
@@ -116,7 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Model:
         i[i == len(keys)] = 0
         rows[k] = None
         coordinates.append(i[keys[i] == x].astype(np.int32) if len(keys) else np.zeros(0, np.int32))
+    del got, data, flat
     w, bias = ftrl(coordinates, y, len(keys))
+    del coordinates
+    _text.release()
     kept = np.flatnonzero(w)
     if len(kept) > MOST_WEIGHTS:
         raise ValueError(f"{len(kept)} weights are more than are broadcast; raise L1")
@@ -141,15 +144,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pandas as pd
-
         model = held.value
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[model.keys >> np.uint32(32 - _FILTER_BITS)] = True
-        for s in batches:
-            whole = pa.record_batch([pa.array(s, pa.string(), from_pandas=True)], names=["text"])
-            parts = [scores(b.column(0), model, seen) for b in _text.slices(whole, "text")]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        for texts in batches:
+            parts = [scores(b.column(0), model, seen) for b in _text.slices(pa.record_batch([texts], names=["text"]), "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
         _text.release()
 
-    return docs.withColumn("score", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
