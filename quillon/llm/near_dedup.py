@@ -38,7 +38,7 @@ REGISTERS = 252
 MANTISSA = 10
 SLACK = 0.14  # five standard deviations of the estimate at a similarity of 0.8
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
-BLOCK_SKETCHES = 384
+BLOCK_SKETCHES = 192
 
 _order = np.array([np.roll(np.random.default_rng(i).permutation(REGISTERS), 0) for i in range(REGISTERS)])
 for _i in range(REGISTERS):
