@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType
 
 _M = (1 << 64) - 1
-MATCHES, PIECES = 250_000, 120_000  # remembered by a worker
+MATCHES, PIECES = 600_000, 300_000  # words that a worker remembers, unless told otherwise
 RUN_BYTES = 2 << 20
 MOST_TOKENS = PAIR = 1_000_000
 #: A split pattern whose matches have no white space after other characters, and none that looks behind.
@@ -142,11 +142,11 @@ class Memo(dict):
 class Codec:
     """Text to ids, as little-endian unsigned 32-bit integers, and back."""
 
-    def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
+    def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str, remembered: tuple[int, int] = (MATCHES, PIECES)):
         self.tokens, self.perfect, self.split = tokens, perfect, regex.compile(pattern)
         self.bytes = [perfect.get(bytes([i])) for i in range(256)]
-        self.match = Memo(self._match, MATCHES)
-        self.piece = Memo(self._piece, PIECES) if pattern == SPACED else self.match
+        self.match = Memo(self._match, remembered[0])
+        self.piece = Memo(self._piece, remembered[1]) if pattern == SPACED else self.match
         self.pieces = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+") if pattern == SPACED else self.split
 
     @cached_property
@@ -180,10 +180,10 @@ def _codec(key: str, held) -> Codec:
     return _codecs[key]
 
 
-def _broadcast(df: DataFrame, path: str, pattern: str) -> Callable[[], Codec]:
+def _broadcast(df: DataFrame, path: str, pattern: str, remembered: tuple[int, int] = (MATCHES, PIECES)) -> Callable[[], Codec]:
     tokens = load_ranks(path)
-    key = xxhash.xxh3_128_hexdigest(b"\n".join([pattern.encode(), *map(base64.b64encode, tokens)]))
-    held = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern))
+    key = xxhash.xxh3_128_hexdigest(b"\n".join([repr((pattern, remembered)).encode(), *map(base64.b64encode, tokens)]))
+    held = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern, remembered))
     return partial(_codec, key, held)
 
 
@@ -205,9 +205,12 @@ def _added(docs: DataFrame, column: str, added: dict[str, DataType], make: Calla
     return docs.select(*kept).mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", verify: str | None = None) -> DataFrame:
-    """docs with token_ids (array<long>) of whole texts, and if verify is a name, whether decoding them gives the text back."""
-    codec = _broadcast(docs, path, pattern)
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", verify: str | None = None, remembered: tuple[int, int] = (MATCHES, PIECES)) -> DataFrame:
+    """docs with token_ids (array<long>) of whole texts, and if verify is a name, whether decoding them gives the text back.
+
+    remembered bounds the matches and pieces that a worker keeps; it changes time and memory only.
+    """
+    codec = _broadcast(docs, path, pattern, remembered)
 
     def make(texts: pa.Array) -> list[pa.Array]:
         c = codec()

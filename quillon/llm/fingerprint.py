@@ -5,8 +5,7 @@ white space folded to single spaces and trimmed. The fingerprint is two xxhash64
 fingerprints are confirmed by comparing canonical bytes: within a row where both texts are there, else against the
 bucket's least document (``exact_groups``).
 
-Scale: a projection; ``with_next`` shuffles the texts once by range buckets of doc_id of bounded number, in which windows
-run, and only one row a bucket is handed to its neighbour. ``exact_groups`` shuffles digests, and texts only of rows
+Scale: a projection; ``with_next`` shuffles the texts once by buckets between quantiles of doc_id, in which windows run, and only one row a bucket is handed to its neighbour. ``exact_groups`` shuffles digests, and texts only of rows
 in equal buckets; its hot buckets are summed before the shuffle and joined, never collected.
 
 Edge cases: a null text counts as empty; repeated doc_ids are ordered by their texts' hash, then by the text; null
@@ -106,22 +105,47 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return single.unionByName(same).unionByName(apart)
 
 
+def _places(n: int) -> int:
+    return max(1, min(MOST_BUCKETS, math.ceil(n / BUCKET_ROWS)))
+
+
+def _bucket(key: Column, order: Column, bounds: list[int]) -> Column:
+    """The place of a row among sorted bounds by binary search; rows on a bound that comes several times are dealt over its places by ``order`` (in [0, 1), falling)."""
+    if not bounds:
+        return F.lit(0)
+    table, steps = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>"), len(bounds).bit_length()
+
+    def below(less) -> Column:
+        """How many bounds meet less(bound)."""
+        halves = F.array(*(F.lit(1 << i) for i in reversed(range(steps))))
+        return F.aggregate(halves, F.lit(0), lambda at, h: F.when((at + h <= len(bounds)) & less(F.get(table, at + h - 1)), at + h).otherwise(at))
+
+    low, high = below(lambda x: x < key), below(lambda x: x <= key)
+    return _let(F.struct(low.alias("a"), high.alias("b")), lambda x: (x.a + F.floor((1 - order) * (x.b - x.a + F.when(x.b > x.a, 1).otherwise(0)))).cast("int"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, fingerprint) with next_text and next_fingerprint, of the next document by descending doc_id; after the last comes the first."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(n / BUCKET_ROWS)))
-    low = 0 if low is None else low
-    width = max(1.0, (float(high or 0) - float(low) + 1) / buckets)
+    """docs (doc_id, text, fingerprint) with next_text and next_fingerprint, of the next document by descending doc_id; after the last comes the first.
+
+    Windows run in buckets of about BUCKET_ROWS rows between quantiles of doc_id, whatever the ids' spread; rows of one id
+    (or without one) go by the text's hash, and over several buckets where they are many. Only rows equal in both
+    share a bucket for certain.
+    """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    df = docs.withColumns({"_k": key, "_b": F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low)) / width).cast("int"), F.lit(-1)), "_last": F.lit(0)})
-    tops = df.groupBy("_b").agg(F.max("_k").alias("_k"))
+    n = docs.count()
+    buckets = _places(n)
+    bounds = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 and n else []
+    share = (F.xxhash64("text") / 2.0**64) + 0.5  # of the order by hash, in [0, 1)
+    df = docs.withColumns({"_k": key, "_h": F.xxhash64("text"), "_b": _bucket(key, F.least(F.greatest(share, F.lit(0.0)), F.lit(1 - 2.0**-53)), [int(x) for x in bounds]), "_last": F.lit(0)})
+    first = F.struct(F.col("_k").alias("k"), (-F.col("_h").cast("decimal(20,0)")).alias("h"))
+    tops = df.groupBy("_b").agg(F.max(first).alias("_top"))
     # One row for each bucket, MOST_BUCKETS + 1 at most.
     order = Window.orderBy(F.desc("_b"))
-    handed = tops.select("_b", F.coalesce(F.lead("_k").over(order), F.max("_k").over(Window.partitionBy())).alias("_k"))
-    ends = df.drop("_b", "_last").join(F.broadcast(handed), "_k").withColumn("_last", F.lit(1))
-    w = Window.partitionBy("_b").orderBy("_last", F.desc("_k"), F.xxhash64("text"), "text")
-    both = df.unionByName(ends).withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
-    return both.where("_last = 0").drop("_k", "_b", "_last")
+    handed = tops.select("_b", F.coalesce(F.lead("_top").over(order), F.max("_top").over(Window.partitionBy())).alias("_t")).select("_b", F.col("_t.k").alias("_k"), (-F.col("_t.h")).cast("bigint").alias("_h"))
+    ends = df.drop("_b", "_last").join(F.broadcast(handed), ["_k", "_h"]).withColumn("_last", F.lit(1)).dropDuplicates(["_b"])
+    w = Window.partitionBy("_b").orderBy("_last", F.desc("_k"), "_h", "text")
+    both = df.unionByName(ends.select(*df.columns)).withColumns({"next_text": F.lead("text").over(w), "next_fingerprint": F.lead("fingerprint").over(w)})
+    return both.where("_last = 0").drop("_k", "_h", "_b", "_last")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from ._store import stored
 REGISTERS = 252
 MANTISSA = 10
 SLACK = 0.14  # five standard deviations of the estimate at a similarity of 0.8
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_CHILDREN = 256, 200_000, 128
 BLOCK_SKETCHES = 192
 
 _order = np.array([np.roll(np.random.default_rng(i).permutation(REGISTERS), 0) for i in range(REGISTERS)])
@@ -267,11 +267,11 @@ def _candidates(nodes: DataFrame, least: float) -> DataFrame:
     )
     near = judged.where(F.col("estimate") >= least).select("src", "dst", "estimate")
     failed = judged.where((F.col("estimate") < least) & F.col("crowded")).select(F.col("src").alias("node"), "dst")
-    few = stored(inside.where("m > 2").join(failed, ["node", "dst"]).select("band", "node"), "crowded")
-    held = few.groupBy("band").agg(F.count("*").alias("few"))
-    sizes = stored(inside.join(held, "band").groupBy("band").agg((F.first("m") / BLOCK_SKETCHES).alias("m"), F.first("few").alias("few"), F.first("dst").alias("node")).select("band", "node", F.ceil("m").cast("int").alias("all_blocks"), F.ceil(F.col("few") / BLOCK_SKETCHES).cast("int").alias("few_blocks")), "sizes")
+    few = stored(inside.where("m > 2").join(failed, ["node", "dst"]).select("band", "node", "dst", "m"), "crowded")
+    blocks = lambda n: F.ceil(n / BLOCK_SKETCHES).cast("int")
+    sizes = stored(few.groupBy("band").agg(F.first("dst").alias("node"), blocks(F.first("m")).alias("all_blocks"), blocks(F.count("*")).alias("few_blocks")), "sizes")
     every = inside.select("band", "node").join(sizes.select("band"), "band").unionByName(sizes.select("band", "node"))
-    dealt = _blocks(few, every, "band", sizes.drop("node")).join(regs, "node")
+    dealt = _blocks(few.select("band", "node"), every, "band", sizes.drop("node")).join(regs, "node")
     crowd = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_crowd(least), _EDGE)
     return stored(near.unionByName(crowd), "near")
 
@@ -287,7 +287,7 @@ def _verified(nodes: DataFrame, texts: DataFrame, near: DataFrame, percent: int,
 
     # Each candidate against its likeliest neighbour; the children of one neighbour are dealt by number.
     parent = stored(near.groupBy(F.col("src").alias("node")).agg(F.max_by("dst", F.struct("estimate", "dst")).alias("comp")), "parents")
-    parts = stored(parent.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("all_blocks")).withColumn("few_blocks", F.lit(1)), "parts")
+    parts = stored(parent.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_CHILDREN).cast("int").alias("all_blocks")).withColumn("few_blocks", F.lit(1)), "parts")
     centre = parts.select("comp", F.col("comp").alias("node"))
     sure = stored(components(run(_blocks(centre, parent, "comp", parts).join(text, "node"))), "sure")
 

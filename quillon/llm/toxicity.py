@@ -93,32 +93,48 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int) -> tuple[np.ndarray
     return w, -bz / ((BETA + np.sqrt(bq)) / ALPHA)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All features end to end, and the rows' offsets (n + 1) into them."""
+    parts = [_text.buffer_of(c) for c in column.chunks]
+    size = np.concatenate([np.zeros(1, np.int64), *(np.diff(off) // 4 for _, off in parts)])
+    flat, at = np.empty(int(size.sum()), np.uint32), 0
+    for data, _ in parts:
+        flat[at : at + len(data) // 4] = np.frombuffer(data.tobytes(), np.uint32)
+        at += len(data) // 4
+    return flat, np.cumsum(size)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Model:
     """From docs (doc_id, text) and labels (doc_id, label); see the module for the bound."""
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample(labels, label, TRAIN_ROWS)), "doc_id")
-    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toArrow().combine_chunks()
+    got = some.mapInArrow(_extract, "doc_id long, label int, features binary").toArrow()
     ids, y = got["doc_id"].to_pylist(), got["label"].to_numpy().astype(np.float64)
-    data, off = _text.buffer_of(got["features"])
-    flat, off = data.view(np.uint32), off // 4
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], xxhash.xxh3_64_intdigest(flat[off[i] : off[i + 1]])))
-    rows, y = [flat[off[i] : off[i + 1]] for i in order], y[order]
+    flat, off = _flat(got["features"])
+    del got
+    _text.release()
     none = np.zeros(0, np.uint32)
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Model(none, np.zeros(0), float(np.log(share / (1 - share))))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], xxhash.xxh3_64_intdigest(flat[off[i] : off[i + 1]])))
     every = np.sort(flat)
     first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ np.uint32(1)) != 0)
     keys = every[first][np.diff(first, append=len(every)) >= LEAST_ROWS]
-    del every
-    coordinates = []
-    for k, x in enumerate(rows):
+    del every, first
+    # Each row's features become coordinates in the same memory; they are fewer at most.
+    at, place = 0, flat.view(np.int32)
+    ends = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        x = flat[a:b].copy()
         i = np.searchsorted(keys, x)
         i[i == len(keys)] = 0
-        rows[k] = None
-        coordinates.append(i[keys[i] == x].astype(np.int32) if len(keys) else np.zeros(0, np.int32))
-    del got, data, flat
+        own = i[keys[i] == x] if len(keys) else i[:0]
+        place[at : at + len(own)] = own
+        ends.append((at, at + len(own)))
+        at += len(own)
+    coordinates, y = [place[slice(*ends[i])] for i in order], y[order]
     w, bias = ftrl(coordinates, y, len(keys))
-    del coordinates
+    del coordinates, place, flat
     _text.release()
     kept = np.flatnonzero(w)
     if len(kept) > MOST_WEIGHTS:

@@ -4,7 +4,7 @@
 every record as a gzip member of its own and writes a sidecar index (offset, length and headers' essentials, one
 tab-separated line for each record). ``read`` opens members by the sidecar's offsets.
 
-Of records with equal payloads (SHA-1 and length) of at least REVISIT_BYTES bytes the one of least page_id is a response;
+Of records with equal payloads (SHA-256, SHA-1 and length) of at least REVISIT_BYTES bytes the one of least page_id is a response;
 the others are revisits without a payload that refer to it.
 
 Scale: one shuffle by payload digest carries the payloads (a join whose hot digests Spark can split; the least id of
@@ -32,8 +32,8 @@ from ._store import new_path, stored
 
 REVISIT_BYTES = 0
 FILE_BYTES = 64 << 20
-LEVEL = 1
-FILES = "path string, records long"
+LEVEL = 4
+FILES = "path string, records long"  # the path is a whole URI
 CHUNK = 1 << 20
 
 
@@ -86,7 +86,7 @@ def _writer(folder: str):
             if out is not None:
                 out.write(pack.flush())
                 out.close()
-                done.append((path, count))
+                done.append((f"{folder}/{path.rpartition('/')[2]}", count))
                 out = None
 
         for b in batches:
@@ -149,11 +149,12 @@ def records(stream) -> Iterator[tuple[bytes, bytes, bytes]]:
 
 def _normaliser(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = _open(folder)
+        to, top = _open(folder)
         for b in batches:
-            for source in b.column("path").to_pylist():
+            for uri in b.column("path").to_pylist():
+                fs, source = _open(uri)
                 path, n, at = f"{top}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                with fs.open_input_stream(source, compression=None) as src, fs.open_output_stream(path, compression=None) as out, fs.open_output_stream(path + ".idx", compression=None) as index:
+                with fs.open_input_stream(source, compression=None) as src, to.open_output_stream(path, compression=None) as out, to.open_output_stream(path + ".idx", compression=None) as index:
                     for raw, head, _ in records(src):
                         pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = pack.compress(raw) + pack.flush()
@@ -162,7 +163,7 @@ def _normaliser(folder: str):
                         index.write(f"{at}\t{len(member)}\t{h['warc-type']}\t{h['warc-record-id']}\t{h['warc-target-uri']}\n".encode())
                         at += len(member)
                         n += 1
-                yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
+                yield pa.record_batch([pa.array([f"{folder}/{path.rpartition('/')[2]}"]), pa.array([n], pa.int64())], names=["path", "records"])
 
     return run
 
@@ -171,9 +172,8 @@ def _page(text: str) -> int | None:
     return int(text[10:-1]) if text[10:-1] else None
 
 
-def _reader(folder: str):
+def _reader():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _open(folder)
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
@@ -181,7 +181,8 @@ def _reader(folder: str):
             return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
         for b in batches:
-            for path in b.column("path").to_pylist():
+            for uri in b.column("path").to_pylist():
+                fs, path = _open(uri)
                 with fs.open_input_stream(path + ".idx", compression=None) as f:
                     index = f.read().decode().split("\n")[:-1]
                 rows, held = [], 0
@@ -209,9 +210,11 @@ def _reader(folder: str):
 def write(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Monolithic archives of pages (page_id, url, html); returns their paths (FILES)."""
     df = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    df = df.withColumns({"sha": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
-    leads = df.groupBy("sha", "size").agg(F.min("page_id").alias("lead"))
-    told = df.join(leads, ["sha", "size"]).withColumn("first", F.when((F.col("size") >= least) & F.col("lead").isNotNull() & ~F.col("lead").eqNullSafe(F.col("page_id")), F.col("lead")))
+    raw = F.col("html").cast("binary")
+    df = df.withColumns({"sha": F.sha1(raw), "wide": F.unhex(F.sha2(raw, 256)), "size": F.octet_length("html")})
+    keys = ["wide", "sha", "size"]
+    leads = df.groupBy(*keys).agg(F.min("page_id").alias("lead"))
+    told = df.join(leads, keys).withColumn("first", F.when((F.col("size") >= least) & F.col("lead").isNotNull() & ~F.col("lead").eqNullSafe(F.col("page_id")), F.col("lead")))
     folder = _folder(pages.sparkSession, "warc")
     return stored(told.select("page_id", "url", "html", "sha", "first").mapInArrow(_writer(folder), FILES), "warc-files")
 
@@ -226,4 +229,4 @@ def normalise(files: DataFrame, spark: SparkSession) -> DataFrame:
 def read(files: DataFrame, spark: SparkSession) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of each record (null payload: a revisit)."""
     n = max(1, spark.sparkContext.defaultParallelism)
-    return files.repartition(n, "path").mapInArrow(_reader(_folder(spark, "warc-read")), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.repartition(n, "path").mapInArrow(_reader(), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
