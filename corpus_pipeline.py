@@ -22,6 +22,8 @@ TOXIC_AT = 0.3
 NEAR_PERCENT = 80
 #: Keys of rows to drop are broadcast up to this number (about 32 bytes each), else joined.
 MOST_BROADCAST = 500_000
+#: Words that a worker of the last stage remembers: fewer than the operator's own default, as the stages share its workers.
+REMEMBERED = (250_000, 120_000)
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -70,7 +72,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     path = public.path("byte_bpe_50k.tiktoken")
-    out = bpe.encode(docs.select("doc_id", "text"), path, public.PATTERN, verify="round_trip")
+    out = bpe.encode(docs.select("doc_id", "text"), path, public.PATTERN, verify="round_trip", remembered=REMEMBERED)
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
