@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "l1_event_select"
-MODULES = ("events", "predicates", "joins", "aggregates", "ranking", "text", "updates", "script", "requests")
+MODULES = ("events", "predicates", "joins", "aggregates", "ranking", "text", "updates", "script", "requests", "feeds")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}

@@ -24,16 +24,16 @@ def engine(name: str, spark, state: dict[str, DataFrame], now: int = 0):
     return engines()[name](spark, state, now)
 
 
-LISTS = "WITH e AS (SELECT l_suppkey AS s, l_orderkey AS o, l_linenumber AS l, (l_quantity::INT % 16)::INT AS f, epoch(l_shipdate)::INT AS d, l_partkey AS v FROM lineitem) "
+LISTS = "WITH e AS (SELECT l_suppkey AS s, l_orderkey AS o, l_linenumber AS l, max(l_quantity::INT % 16)::INT AS f, max(epoch(l_shipdate)::INT) AS d, max(l_partkey) AS v FROM lineitem GROUP BY 1, 2, 3) "
 
 
 def _lists(spark, d):
-    li = table(spark, d, "lineitem")
-    return engine("lists", spark, {"entries": li.select(F.array(F.col("l_suppkey").cast("int")).alias("list_id"), F.array(F.col("l_orderkey").cast("int"), "l_linenumber").alias("object_id"), (F.col("l_quantity").cast("int") % 16).alias("flags"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("int").alias("date"), F.col("l_partkey").alias("value"))})
+    li = table(spark, d, "lineitem").groupBy(F.array(F.col("l_suppkey").cast("int")).alias("list_id"), F.array(F.col("l_orderkey").cast("int"), "l_linenumber").alias("object_id"))
+    return engine("lists", spark, {"entries": li.agg(F.max(F.col("l_quantity").cast("int") % 16).alias("flags"), F.max(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("int")).alias("date"), F.max("l_partkey").alias("value"))})
 
 
 def _entries(spark, d, line: int, **columns) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_linenumber") == line)
+    li = table(spark, d, "lineitem").where(F.col("l_linenumber") == line).select("l_suppkey", "l_orderkey", "l_linenumber").distinct()
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rq"), F.array("l_suppkey").alias("list_id"), F.array("l_orderkey", "l_linenumber").alias("object_id"), *(F.lit(v).alias(k) for k, v in columns.items()))
 
 
@@ -164,7 +164,7 @@ def e4_cache(spark, d):
     h AS (SELECT u, id, t, rating, row_number() OVER (PARTITION BY u ORDER BY rating DESC, t, id) AS r, count(*) OVER (PARTITION BY u) AS n FROM r WHERE text LIKE 'sm%' OR text LIKE '% sm%')
     SELECT 'hints' AS op, u AS rq, r AS pos, n || ' ' || t || ':' || id || ' ' || rating::INT AS x FROM h WHERE r <= 5
     UNION ALL SELECT 'text', id, 0, CASE WHEN id % 13 = 0 THEN 'none' ELSE text END FROM o
-    UNION ALL SELECT 'sort', u, row_number() OVER (PARTITION BY u ORDER BY rating DESC), t || ':' || id FROM (SELECT u, t, id, rating FROM r WHERE u = 4 AND id IN (4, 24, 44))"""
+    UNION ALL SELECT 'sort', u, row_number() OVER (PARTITION BY u ORDER BY rating DESC, t, id), t || ':' || id FROM (SELECT u, t, id, rating FROM r WHERE u = 4 AND id IN (4, 24, 44))"""
 )
 def e5_hints(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") % 20).cast("int").alias("user_id"), (F.col("p_size") % 3 + 1).cast("int").alias("type"), F.col("p_partkey").cast("int").alias("object_id"), F.col("p_name").alias("text"), F.col("p_partkey").alias("rq"))
@@ -219,7 +219,7 @@ def e7_memcache(spark, d):
 
 @query(
     E + """, u AS (SELECT uid::INT AS id, CASE type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS t, k % 5 AS owner, k % 3 AS place, time, id AS eid FROM e), m AS (SELECT * FROM u WHERE id IN (1, 2, 3, 4) AND t IN (1, 2) AND time >= 1704844800 AND time < 1705708800 AND NOT (id = 4 AND t <> 1)),
-    g AS (SELECT t, owner, place, time // 86400 AS day, id, max(time) AS at FROM m GROUP BY 1, 2, 3, 4, 5), w AS (SELECT t, owner, place, day, max(at) AS newest, count(*) AS total FROM g GROUP BY 1, 2, 3, 4), s AS (SELECT *, row_number() OVER (ORDER BY newest DESC, t, owner, place, day) AS r FROM w)
+    g AS (SELECT t, owner, place, time // 86400 AS day, id, max(time) AS last FROM m GROUP BY 1, 2, 3, 4, 5), w AS (SELECT t, owner, place, day, max(last) AS newest, count(*) AS total FROM g GROUP BY 1, 2, 3, 4), s AS (SELECT *, row_number() OVER (ORDER BY newest DESC, t, owner, place, day) AS r FROM w)
     SELECT 'raw' AS op, id AS rq, t AS pos, count(*)::VARCHAR AS x FROM m GROUP BY 2, 3 UNION ALL SELECT 'groups', 0, r, t || ' ' || owner || ' ' || place || ' ' || newest || ' ' || total FROM s WHERE r <= 20"""
 )
 def e8_news(spark, d):
@@ -234,7 +234,7 @@ def e8_news(spark, d):
 
 @query(
     E + """, u AS (SELECT uid::INT AS id, 1 AS t, k % 5 AS owner, k % 3 AS place, (id % 40)::INT AS action, time FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY id, owner, place, action ORDER BY time DESC) AS r FROM u WHERE id BETWEEN 1 AND 9),
-    s AS (SELECT owner, place, count(DISTINCT id) AS users, sum(id * (action % 4) * pow(2.0, -(1706600000 - time) / 864000.0)) AS w FROM o WHERE action >= 32 OR r = 1 GROUP BY 1, 2)
+    s AS (SELECT owner, place, count(DISTINCT id) AS users, sum(id * (action % 4) * pow(2.0, -greatest(1706600000 - time, 0) / 864000.0)) AS w FROM o WHERE action >= 32 OR r = 1 GROUP BY 1, 2)
     SELECT 'best' AS op, 0 AS rq, row_number() OVER (ORDER BY w DESC, owner, place) AS pos, owner || ' ' || place || ' ' || users || ' ' || round(w, 3)::DECIMAL(18,3) AS x FROM s WHERE users >= 2 QUALIFY pos <= 8
     UNION ALL SELECT 'marks', 0, owner, count(*)::VARCHAR FROM u WHERE place = 1 AND owner <> 3 GROUP BY 3
     UNION ALL SELECT 'seen', id, 0, count(*)::VARCHAR FROM u WHERE owner <> 2 GROUP BY 2"""
@@ -259,17 +259,17 @@ def e9_other_news(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT (l_suppkey)::INT AS own, (l_partkey % 10 + 1)::INT AS album, (l_orderkey * 8 + l_linenumber)::INT AS id, l_quantity::INT AS h FROM lineitem), a AS (SELECT own, album, id, CASE WHEN id % 4 = 0 THEN h + 100 ELSE h END AS h, CASE WHEN id % 6 = 0 THEN 5 ELSE 0 END AS views FROM p WHERE id % 9 <> 0),
+    """WITH p AS (SELECT (l_suppkey)::INT AS own, max(l_partkey % 10 + 1)::INT AS album, (l_orderkey * 8 + l_linenumber)::INT AS id, max(l_quantity::INT) AS h FROM lineitem GROUP BY l_suppkey, l_orderkey, l_linenumber), a AS (SELECT own, album, id, CASE WHEN id % 4 = 0 THEN h + 100 ELSE h END AS h, CASE WHEN id % 6 = 0 THEN 5 ELSE 0 END AS views FROM p WHERE id % 9 <> 0),
     r AS (SELECT own, album, id, h, row_number() OVER (PARTITION BY own ORDER BY id DESC) AS r, count(*) OVER (PARTITION BY own) AS n FROM a WHERE album = 3 AND h > 20)
     SELECT 'count' AS op, s_suppkey AS rq, 0 AS pos, count(id)::VARCHAR AS x FROM supplier LEFT JOIN a ON own = s_suppkey AND album = 2 AND (h > 40 OR views = 5) GROUP BY 2
     UNION ALL SELECT 'shown', own, r - 1, n || ' ' || id || ' ' || h FROM r WHERE r BETWEEN 2 AND 4
     UNION ALL SELECT 'over', own, 0, count(*)::VARCHAR FROM a WHERE album IN (1, 5) GROUP BY 2"""
 )
 def e10_photo(spark, d):
-    p = table(spark, d, "lineitem").select(F.lit("photo").alias("kind"), F.col("l_suppkey").cast("int").alias("owner_id"), (F.col("l_partkey") % 10 + 1).cast("int").alias("album_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("id"), F.col("l_quantity").cast("int").alias("height")).withColumn("place", F.col("id").cast("double"))
+    p = table(spark, d, "lineitem").groupBy(F.lit("photo").alias("kind"), F.col("l_suppkey").cast("int").alias("owner_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int").alias("id")).agg(F.max(F.col("l_partkey") % 10 + 1).cast("int").alias("album_id"), F.max(F.col("l_quantity").cast("int")).alias("height")).withColumn("place", F.col("id").cast("double"))
     e = engine("photo", spark, {"objects": p})
     one = p.select(F.col("id").alias("rq"), "owner_id", F.col("id").alias("photo_id"), "height")
-    nothing = {c: F.lit(None) for c in ("album_id", "user_id", "width")} | {c: F.lit(None).cast("string") for c in ()}
+    nothing = {c: F.lit(None) for c in ("album_id", "user_id", "width")}
     place = "array<struct<server:int,server2:int,user_id:int,orig_album:int,photo:string,rotate:int,size:string,volume_id:int>>"
     e.batch("photo.changePhoto", one.where("rq % 4 = 0").withColumn("height", F.col("height") + 100).withColumns({k: v.cast("int") for k, v in nothing.items()} | {c: F.lit(None).cast(place) for c in ("location", "original_location")}))
     e.batch("photo.incrementPhotoField", one.where("rq % 6 = 0").withColumns({"field": F.lit("views"), "cnt": F.lit(5)}))
