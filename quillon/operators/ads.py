@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.maths import MAX, rand
 from quillon.operators.predicate import Keyword, compiled
 
 MOST_ADS = 10_000
@@ -25,7 +26,7 @@ def audience(users: DataFrame, base: str, aux: dict[str, str], keywords: dict[st
 
 def sampled_audience(users: DataFrame, base: str, aux: dict[str, str], keywords: dict[str, Keyword], most: int, seed: int = 0) -> DataFrame:
     """As audience over the most users of least seeded hash, with scanned."""
-    some = users.where(compiled(base, keywords)).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most)
+    some = users.where(compiled(base, keywords)).orderBy(rand(0, MAX, seed, F.col("id")), "id").limit(most)
     return some.agg(F.count("*").alias("scanned"), *(F.count_if(compiled(t, keywords)).alias(k) for k, t in aux.items()))
 
 

@@ -2,43 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.expressions import full_simplify, simplify
 from quillon.operators.predicate import words_of
 
-MOST_PATTERNS = 10_000
+BLOCK = 100_000  # patterns in one automaton; more take further passes
 EXTREME_WORDS, SPAM_AT, PRIOR = 10, 0.9, 3.5
 
 
-def _bounded(small: DataFrame, what: str) -> list:
-    rows = small.limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} {what}")
-    return rows
+def _blocks(small: DataFrame, size: int) -> Iterator[list]:
+    held = []
+    for r in small.toLocalIterator():
+        held.append(r)
+        if len(held) >= size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def multi_pattern(docs: DataFrame, patterns: DataFrame, text: str = "text", most: int = BLOCK) -> DataFrame:
+    """docs without the text, and id, for each pattern (id, pattern) that stands in the text.
+
+    The patterns of a block make one automaton (Aho-Corasick), which is broadcast; a text is read once whatever their number.
+    """
+    rest = [c for c in docs.columns if c != text]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    out = docs.select(*rest).withColumn("id", F.lit(None).cast(patterns.schema["id"].dataType)).where("false")
+    for block in _blocks(patterns.where("pattern IS NOT NULL AND pattern <> ''").select("id", "pattern"), most):
+        held = docs.sparkSession.sparkContext.broadcast([(r["id"], r["pattern"]) for r in block])
+
+        def run(batches, held=held):
+            import ahocorasick
+            import pyarrow as pa
+
+            found, ids = ahocorasick.Automaton(), {}
+            for i, p in held.value:
+                ids.setdefault(p, []).append(i)
+            for p in ids:
+                found.add_word(p, p)
+            found.make_automaton()
+            for b in batches:
+                row, hit = [], []
+                for k, t in enumerate(b.column(text)):
+                    for p in {p for _, p in found.iter(t.as_py())} if t.is_valid else ():
+                        for i in ids[p]:
+                            row.append(k)
+                            hit.append(i)
+                at = pa.array(row, pa.int64())
+                yield pa.record_batch([b.column(c).take(at) for c in rest] + [pa.array(hit)] if row else [b.column(c).slice(0, 0) for c in rest] + [pa.array([], pa.int64())], names=[*rest, "id"])
+
+        part = docs.select(*rest, F.col(text).cast("string").alias(text)).mapInArrow(run, (schema + ", " if schema else "") + "id bigint")
+        out = out.unionByName(part.withColumn("id", F.col("id").cast(patterns.schema["id"].dataType)))
+    return out
 
 
 def blacklisted(docs: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """docs that contain any of the phrases (phrase), in any case; at most MOST_PATTERNS phrases, compiled into the filter."""
-    found = F.lit(False)
-    for r in _bounded(phrases, "phrases"):
-        found = found | F.contains(F.lower(text), F.lit(r["phrase"].lower()))
-    return docs.where(found)
+    """docs that contain any of the phrases (phrase), in any case."""
+    one = phrases.select(F.lower("phrase").alias("pattern")).distinct().withColumn("id", F.lit(1).cast("bigint"))
+    own = docs.withColumn("_key", F.monotonically_increasing_id())
+    hit = multi_pattern(own.select("_key", F.lower(text).alias(text)), one, text).select("_key").distinct()
+    return own.join(hit, "_key", "left_semi").drop("_key")
 
 
 def match_patterns(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """id of each pattern and the doc's columns but text, for each pattern that fits: ip and uahash equal or 0, and the pattern within the text (flags 16: simplified, 32: fully)."""
-    hits = []
-    for r in _bounded(patterns, "patterns"):
-        where = simplify(F.col(text)) if r["flags"] & 16 else full_simplify(F.col(text)) if r["flags"] & 32 else F.col(text)
-        c = F.contains(where, F.lit(r["pattern"]))
-        for key in ("ip", "uahash"):
-            if r[key]:
-                c = (F.col(key) == r[key]) & c
-        hits.append(F.when(c, F.lit(r["id"])))
+    kinds = [("(flags & 48) = 0", F.col(text)), ("(flags & 16) <> 0", simplify(F.col(text))), ("(flags & 16) = 0 AND (flags & 32) <> 0", full_simplify(F.col(text)))]
+    told, out = patterns.select("id", F.col("ip").alias("_ip"), F.col("uahash").alias("_ua")), None
+    for where, form in kinds:
+        part = multi_pattern(docs.withColumn(text, form), patterns.where(where), text)
+        out = part if out is None else out.unionByName(part)
     rest = [c for c in docs.columns if c != text]
-    return docs.withColumn("_ids", F.array_compact(F.array(*hits)) if hits else F.expr("cast(array() AS array<int>)")).select(F.explode("_ids").alias("id"), *rest)
+    return out.join(told, "id").where("(_ip = 0 OR _ip = ip) AND (_ua = 0 OR _ua = uahash)").select("id", *rest)
 
 
 def word_counts(docs: DataFrame, label: str, text: str = "text") -> DataFrame:

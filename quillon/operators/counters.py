@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LN2 = math.log(2)
+RUN = 4096
 
 
 def counters(events: DataFrame, keys: list[str], uid: str = "uid", breakdown: dict[str, Column] | None = None, order: tuple[str, ...] = ("time", "id"), op: str | None = None) -> DataFrame:
@@ -59,16 +60,25 @@ def decayed(value: Column, time: Column, now: int | Column, half_life: float | C
 def saturating(events: DataFrame, keys: list[str], value: str, time: str, half_life: float, order: tuple[str, ...]) -> DataFrame:
     """keys, weight: increments in time order under x # y = (x + y) / (1 + x y), the weight halving every half_life seconds between them.
 
-    The fold needs a key's increments in order: keys are gathered one by one, so a key's own history must fit a row.
+    An increment after a pause takes x to (d x + y) / (1 + d x y), a fractional linear map; maps of neighbours multiply as
+    2 x 2 matrices. So a key's increments are folded in runs of RUN, and the runs' matrices after that: no row holds more
+    than RUN increments, or a matrix for every RUN of them.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), F.col(value).cast("double").alias("y"))))
-
-    def step(a: Column, e: Column) -> Column:
-        x = a.x * F.pow(F.lit(2.0), -(e.t - a.t) / half_life)
-        return F.struct(e.t.alias("t"), ((x + e.y) / (1 + x * e.y)).alias("x"))
-
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("x"))
-    return events.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.aggregate("_rows", start, step, lambda a: a.x).alias("weight"))
+    by = [F.col(time).cast("double"), *(F.col(c) for c in order)]
+    own = events.select(*keys, F.col(time).cast("double").alias("_t"), F.col(value).cast("double").alias("_y"), F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).alias("_r"), F.lag(F.col(time).cast("double")).over(Window.partitionBy(*keys).orderBy(*by)).alias("_was"))
+    d = F.pow(F.lit(2.0), -(F.col("_t") - F.coalesce("_was", F.col("_t"))) / half_life)
+    own = own.select(*keys, "_r", F.floor((F.col("_r") - 1) / RUN).alias("_c"), F.struct(d.alias("a"), F.col("_y").alias("b"), (d * F.col("_y")).alias("c"), F.lit(1.0).alias("d")).alias("m"))
+
+    def times(n: Column, m: Column) -> Column:
+        """m after n, scaled to keep its size."""
+        a, b, c, e = m.a * n.a + m.b * n.c, m.a * n.b + m.b * n.d, m.c * n.a + m.d * n.c, m.c * n.b + m.d * n.d
+        size = F.greatest(F.abs(a), F.abs(b), F.abs(c), F.abs(e), F.lit(1e-300))
+        return F.struct((a / size).alias("a"), (b / size).alias("b"), (c / size).alias("c"), (e / size).alias("d"))
+
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"))
+    fold = lambda place: F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(place).alias("r"), F.col("m").alias("m")))), one, lambda n, x: times(n, x.m))
+    runs = own.groupBy(*keys, "_c").agg(fold("_r").alias("m"))
+    return runs.groupBy(*keys).agg(fold("_c").alias("m")).select(*keys, (F.col("m.b") / F.col("m.d")).alias("weight"))
 
 
 def saturating_sum(value: Column) -> Column:

@@ -77,8 +77,9 @@ def change_flags(entries: DataFrame, where: Column, flags: str, and_mask: int, o
 
 
 def reorder(entries: DataFrame, moved: int, before: int, key: str = "id", pos: str = "pos") -> DataFrame:
-    """entries with one moved right before another: its position becomes the middle of the neighbours'."""
-    at = entries.where(F.col(key) == before).select(F.col(pos).cast("double").alias("_at"))
-    under = entries.where(F.col(key) != moved).join(F.broadcast(at)).where(F.col(pos) < F.col("_at")).agg(F.max(F.col(pos)).cast("double").alias("_under"))
-    both = at.join(under).select(F.coalesce((F.col("_at") + F.col("_under")) / 2, F.col("_at") - 1).alias("_new"))
-    return entries.join(F.broadcast(both)).withColumn(pos, F.when(F.col(key) == moved, F.col("_new")).otherwise(F.col(pos).cast("double"))).drop("_new")
+    """entries with one moved right before another: its position becomes the middle of the neighbours'. Without that other one nothing moves."""
+    place = F.col(pos).cast("double")
+    at = entries.where(F.col(key) == before).agg(F.max(place).alias("_at"))
+    under = entries.where(F.col(key) != moved).join(F.broadcast(at), place < F.col("_at")).agg(F.max(place).alias("_under"))
+    both = at.join(F.broadcast(under)).select(F.coalesce((F.col("_at") + F.col("_under")) / 2, F.col("_at") - 1).alias("_new"))  # one row each
+    return entries.join(F.broadcast(both)).withColumn(pos, F.when((F.col(key) == moved) & F.col("_new").isNotNull(), F.col("_new")).otherwise(place)).drop("_new")

@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.maths import rand
+
 INDEPENDENT = ("group", "lang")
 
 
@@ -133,18 +135,29 @@ class _Parser:
         return self.compare(name, kw, field, op, raw)
 
     def apart(self, name: str) -> Column:
-        """Conditions of a group that each find an element of their own."""
+        """Conditions of a group that each find an element of their own, with the levels of | and &, ! and parentheses."""
+        left = self.apart_both(name)
+        while self.peek() in ("|", "||"):
+            self.take()
+            left = left | self.apart_both(name)
+        return left
+
+    def apart_both(self, name: str) -> Column:
         left = self.apart_term(name)
-        while self.peek() in ("&", "|", "&&", "||"):
-            op = self.take()
-            right = self.apart_term(name)
-            left = left & right if op[0] == "&" else left | right
+        while self.peek() in ("&", "&&"):
+            self.take()
+            left = left & self.apart_term(name)
         return left
 
     def apart_term(self, name: str) -> Column:
         if self.peek() == "!":
             self.take()
-            return ~self.apart_term(name)
+            return ~F.coalesce(self.apart_term(name), F.lit(False))
+        if self.peek() == "(":
+            self.take()
+            x = self.apart(name)
+            self.take(")")
+            return x
         at = self.i
         return F.exists(self.fields.get(name, F.col(name)), lambda e: self._again(at, name, e))
 
@@ -168,7 +181,9 @@ class _Parser:
             raise ValueError(f"{name} takes = only")
         if kw.least is not None and v < kw.least or kw.most is not None and v > kw.most:
             raise ValueError(f"{name}: {v} is out of range")
-        return {"=": field == v, "==": field == v, "!=": field != v, ">=": field >= v, "<=": field <= v, ">": field > v, "<": field < v}[op]
+        out = {"=": field == v, "==": field == v, "!=": field != v, ">=": field >= v, "<=": field <= v, ">": field > v, "<": field < v}[op]
+        # Upper bounds leave out values under the keyword's least one, which are unset.
+        return out & (field >= kw.least) if op in ("<=", "<") and kw.least is not None and kw.least > 0 else out
 
 
 def birthday_in(days: Column | int, today: Column, day: str = "bday_day", month: str = "bday_month") -> Column:
@@ -186,7 +201,7 @@ def compiled(text: str, keywords: dict[str, Keyword] | None = None, today: Colum
     """The query as a Column; today drives birthdays and ages, seed the random predicate, in_list the flag of that name."""
     today = today if today is not None else F.current_date()
     flags = {"true": F.lit(True), "false": F.lit(False), "birthday_today": birthday_in(0, today), "birthday_tomorrow": birthday_in(1, today), "in_list": in_list if in_list is not None else F.lit(False)}
-    own = {"age": age_on(today), "random": F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1000)), "birthday_soon": F.lit(None).cast("int")}
+    own = {"age": age_on(today), "random": rand(0, 999, seed, F.col("id")), "birthday_soon": F.lit(None).cast("int")}
     p = _Parser(text, keywords or KEYWORDS, flags, own | dict(fields or {}))
     x = p.either()
     if p.peek():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillon.operators.predicate import words_of
 
-MOST_RANGES = 1_000_000
 BLOCK = 1000
 
 
@@ -32,17 +31,21 @@ def but_words(keys: DataFrame, post: DataFrame, words: list[str], key: str = "do
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, bits: int = 16) -> DataFrame:
-    """points with the code of the shortest range (start, end, code) around them, else null.
+    """points with the code of the shortest range (start, end, code) around them, else null; equal points stay rows of their own.
 
-    Both sides meet on buckets of 2**bits values, so that the join is an equi-join; a long range is in many buckets. Ties go to the
-    later start, then to the code.
+    A range goes to the level of its width (a power of two, 2**bits at least), where it meets two buckets at most; a point
+    looks into its bucket of each level that occurs. So the join is an equi-join, and no range is spread over many rows.
+    Ties go to the later start, then to the code.
     """
-    width = 1 << bits
-    wide = ranges.select("start", "end", "code", F.explode(F.expr(f"sequence(start div {width}, end div {width})")).alias("_b"))
-    hit = points.withColumn("_b", F.expr(f"{point} div {width}")).join(wide, "_b", "left")
+    level = F.greatest(F.ceil(F.log2((F.col("end") - F.col("start") + 1).cast("double"))).cast("int"), F.lit(bits))
+    wide = ranges.where("start <= end").select("start", "end", "code", level.alias("_l"))
+    wide = wide.withColumn("_b", F.explode(F.array_distinct(F.array(F.expr("shiftright(start, _l)"), F.expr("shiftright(end, _l)")))))
+    levels = wide.agg(F.sort_array(F.collect_set("_l")).alias("_levels"))  # 64 at most
+    own = points.withColumn("_id", F.monotonically_increasing_id()).join(F.broadcast(levels)).withColumn("_l", F.explode_outer("_levels")).withColumn("_b", F.expr(f"shiftright(cast({point} AS bigint), _l)"))
+    hit = own.join(wide, ["_l", "_b"], "left")
     inside = F.col(point).between(F.col("start"), F.col("end"))
     best = F.min(F.when(inside, F.struct((F.col("end") - F.col("start")).alias("w"), (-F.col("start")).alias("s"), F.col("code").alias("code"))))
-    return hit.groupBy(*points.columns).agg(best.getField("code").alias("code"))
+    return hit.groupBy("_id", *points.columns).agg(best.getField("code").alias("code")).drop("_id")
 
 
 def common_neighbours(edges: DataFrame, user: int) -> DataFrame:

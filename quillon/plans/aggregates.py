@@ -20,12 +20,12 @@ def a1_result_count(spark, d):
 AUX = {"rich": "balance>=5000", "machines": "segment=machinery", "low": "id<=500"}
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (c_acctbal >= 5000) AS rich, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machines, count(*) FILTER (c_custkey <= 500) AS low FROM customer WHERE c_acctbal >= 0")
+@query("SELECT count(*) AS total, count(*) FILTER (c_acctbal >= 5000) AS rich, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machines, count(*) FILTER (c_custkey BETWEEN 1 AND 500) AS low FROM customer WHERE c_acctbal >= 0")
 def a2_audience(spark, d):
     return ads.audience(entities(spark, d), "balance>=0", AUX, KEYWORDS)
 
 
-@query()
+@query("WITH s AS (SELECT * FROM customer WHERE c_acctbal >= 0 ORDER BY ('0x' || substr(md5(c_custkey || ':1'), 1, 15))::BIGINT % 2147483648, c_custkey LIMIT 200) SELECT count(*) AS scanned, count(*) FILTER (c_acctbal >= 5000) AS rich, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machines, count(*) FILTER (c_custkey BETWEEN 1 AND 500) AS low FROM s")
 def a3_sampled_audience(spark, d):
     return ads.sampled_audience(entities(spark, d), "balance>=0", AUX, KEYWORDS, 200, 1)
 
@@ -39,9 +39,9 @@ def a4_price_histogram(spark, d):
     return ads.price_histogram(p, 2, 40)
 
 
-@query(PRICES.replace("FROM orders)", "FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_custkey <= 1000)") + "b AS (SELECT least(price, 39) AS bucket, count(*) AS users FROM p WHERE r = 1 GROUP BY 1), f AS (SELECT CAST(range AS INT) AS bucket, coalesce(users, 0) AS users FROM range(40) LEFT JOIN b ON b.bucket = range) SELECT bucket, users, CAST(sum(users) OVER (ORDER BY bucket) AS BIGINT) AS reached FROM f")
+@query(PRICES.replace("FROM orders)", "FROM orders WHERE o_orderpriority <> '1-URGENT')") + "b AS (SELECT least(price, 39) AS bucket, count(*) AS users FROM p WHERE r = 1 GROUP BY 1), f AS (SELECT CAST(range AS INT) AS bucket, coalesce(users, 0) AS users FROM range(40) LEFT JOIN b ON b.bucket = range) SELECT bucket, users, CAST(sum(users) OVER (ORDER BY bucket) AS BIGINT) AS reached FROM f")
 def a5_ad_pricing(spark, d):
-    p = table(spark, d, "orders").where("o_orderpriority <> '1-URGENT' AND o_custkey <= 1000").select(F.col("o_custkey").alias("user"), F.floor(F.col("o_totalprice") / 10000).cast("int").alias("price"))
+    p = table(spark, d, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_custkey").alias("user"), F.floor(F.col("o_totalprice") / 10000).cast("int").alias("price"))
     return ads.price_histogram(p, 1, 40)
 
 
@@ -204,14 +204,11 @@ def a28_saturating_sum(spark, d):
 
 
 @query(
-    E.replace("WITH e", "WITH RECURSIVE e")
-    + """, o AS (SELECT uid, time, (k % 10) / 50.0 AS y, row_number() OVER (PARTITION BY uid ORDER BY time, id) AS r FROM e WHERE uid <= 20),
-    w AS (SELECT uid, r, time, CAST(y AS DOUBLE) AS x FROM o WHERE r = 1 UNION ALL
-    SELECT o.uid, o.r, o.time, (w.x * pow(2.0, -(o.time - w.time) / 2592000.0) + o.y) / (1 + w.x * pow(2.0, -(o.time - w.time) / 2592000.0) * o.y) FROM w JOIN o ON o.uid = w.uid AND o.r = w.r + 1)
-    SELECT uid, round(arg_max(x, r), 8) AS weight FROM w GROUP BY 1"""
+    E + """, o AS (SELECT uid, list({'t': time, 'x': (k % 10) / 50.0} ORDER BY time, id) AS l FROM e GROUP BY 1)
+    SELECT uid, round((list_reduce(l, lambda a, b: {'t': b.t, 'x': (a.x * pow(2.0, -(b.t - a.t) / 2592000.0) + b.x) / (1 + a.x * pow(2.0, -(b.t - a.t) / 2592000.0) * b.x)})).x, 8) AS weight FROM o"""
 )
 def a28_saturating_with_decay(spark, d):
-    e = log(spark, d).where("uid <= 20").withColumn("y", (F.col("k") % 10) / 50.0)
+    e = log(spark, d).withColumn("y", (F.col("k") % 10) / 50.0)
     return counters.saturating(e, ["uid"], "y", "time", 2_592_000.0, ("id",)).withColumn("weight", F.round("weight", 8))
 
 
@@ -260,22 +257,22 @@ def a32_item_similarity(spark, d):
     return recsys.similarity(_baskets(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
-@query(SIM + """, o AS (SELECT u, item, v FROM s WHERE u <= 200), b AS (SELECT i, j, sim FROM c UNION ALL SELECT j, i, sim FROM c),
+@query(SIM + """, o AS (SELECT u, item, v FROM s WHERE u % 50 = 0), b AS (SELECT i, j, sim FROM c UNION ALL SELECT j, i, sim FROM c),
 h AS (SELECT u, j, sum(least(greatest(v, 1), 100) * sim) AS score FROM o JOIN b ON o.item = b.i GROUP BY 1, 2)
 SELECT u AS "user", j AS item, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY u ORDER BY round(score, 9) DESC, j) AS INT) AS rank FROM h WHERE (u, j) NOT IN (SELECT u, item FROM o) QUALIFY rank <= 5""")
 def a33_recommend_items(spark, d):
     s = _baskets(spark, d)
-    users = s.where("user <= 200").select("user").distinct()
+    users = s.where("user % 50 = 0").select("user").distinct()
     return recsys.suggest_items(s, recsys.similarity(s), users, 5).withColumn("score", F.round("score", 6))
 
 
 @query(
-    """WITH g AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 211 AS v FROM orders), p AS (SELECT a.u, b.u AS other, count(*) AS common FROM g a JOIN g b ON a.v = b.v AND a.u <> b.u AND a.u <= 25 GROUP BY 1, 2 HAVING count(*) >= 2)
+    """WITH g AS (SELECT DISTINCT o_custkey AS u, o_orderkey % 211 AS v FROM orders), p AS (SELECT a.u, b.u AS other, count(*) AS common FROM g a JOIN g b ON a.v = b.v AND a.u <> b.u AND a.u % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= 2)
     SELECT u, other, common, CAST(row_number() OVER (PARTITION BY u ORDER BY common DESC, other) AS INT) AS rank FROM p WHERE (u, other) NOT IN (SELECT u, v FROM g) AND other <> 13 QUALIFY rank <= 8"""
 )
 def a34_friend_suggestions(spark, d):
     g = table(spark, d, "orders").select(F.col("o_custkey").alias("u"), (F.col("o_orderkey") % 211).alias("v")).distinct()
-    users = g.where("u <= 25").select("u").distinct()
+    users = g.where("u % 50 = 0").select("u").distinct()
     return sets.suggestions(g, users, 2, 8, except_pairs=users.select("u", F.lit(13).cast("bigint").alias("other")))
 
 

@@ -33,7 +33,7 @@ def _search(name, text, sql, how=entities, columns=("id",)):
 
 O = "WITH o AS (SELECT o_custkey AS id, o_totalprice AS price, year(o_orderdate) AS year, CAST(substr(o_orderpriority, 1, 1) AS INT) AS urgency FROM orders) "  # noqa: E741
 _search("f1_boolean_query", "nation=3 & (balance>=1000 | !balance<=0) & !segment=building", "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 AND (c_acctbal >= 1000 OR NOT c_acctbal <= 0) AND c_mktsegment <> 'BUILDING'")
-_search("f2_true_false_keywords", "true & !false & id<=100", "SELECT c_custkey AS id FROM customer WHERE c_custkey <= 100")
+_search("f2_true_false_keywords", "true & !false & id<=100", "SELECT c_custkey AS id FROM customer WHERE c_custkey BETWEEN 1 AND 100")
 _search("f3_equality", "nation=7", "SELECT c_custkey AS id FROM customer WHERE c_nationkey = 7")
 _search("f4_range", "balance>=100 & balance<=900", "SELECT c_custkey AS id FROM customer WHERE c_acctbal BETWEEN 100 AND 900")
 _search("f5_word", "segment=machinery", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'")
@@ -48,6 +48,10 @@ def f7_word_list(spark, d):
     return e.where(F.arrays_overlap("segment_words", F.array(F.lit("furniture"), F.lit("building")))).select("id")
 
 
+_search("f8_group_precedence", "group.(price>=450000 | year=1994 & !price<=5000) & group.(!(year=1993 | price>=480000))", O + "SELECT id FROM o GROUP BY id HAVING (bool_or(price >= 450000) OR (bool_or(year = 1994) AND NOT bool_or(price <= 5000))) AND NOT (bool_or(year = 1993) OR bool_or(price >= 480000))", nested)
+_search("f4_upper_bound_of_set_values", "bday_year<=1962 | bday_day<3", "WITH b AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1950 + c_custkey % 40 END AS y, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_custkey % 29 END AS dd FROM customer) SELECT id FROM b WHERE (y BETWEEN 1900 AND 1962) OR (dd BETWEEN 1 AND 2)", lambda spark, d: entities(spark, d).withColumns({"bday_year": F.expr("if(id % 3 = 0, 0, 1950 + id % 40)"), "bday_day": F.expr("if(id % 5 = 0, 0, id % 29)")}))
+
+
 @query(O + "SELECT DISTINCT o.id FROM o WHERE o.year = 1995 AND o.urgency <= 2")
 def f9_lifted_quantifier(spark, d):
     """A row filter that every matching entity meets goes below the nesting; the quantifier itself stays above."""
@@ -58,7 +62,8 @@ def f9_lifted_quantifier(spark, d):
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_nationkey = 5")
 def f10_in_list(spark, d):
     members = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")).distinct()
-    return P.search(entities(spark, d).join(members, "id", "left_semi"), "nation=5", keywords=KEYWORDS).select("id")
+    told = entities(spark, d).join(members.withColumn("_member", F.lit(True)), "id", "left")
+    return P.search(told, "in_list & nation=5", keywords=KEYWORDS, in_list=F.coalesce("_member", F.lit(False))).select("id")
 
 
 def _born(spark, d):
@@ -80,7 +85,7 @@ def f12_age(spark, d):
     return _born(spark, d).where(P.compiled("age>=30 & age<=35", today=today)).select("id", P.age_on(today).alias("age"))
 
 
-@query()
+@query("SELECT c_custkey AS id FROM customer WHERE ('0x' || substr(md5(c_custkey || ':17'), 1, 15))::BIGINT % 1000 <= 100")
 def f13_random(spark, d):
     """A seeded share of the entities, the same for each run."""
     return entities(spark, d).where(P.compiled("random<=100", seed=17)).select("id")
@@ -111,13 +116,13 @@ def f17_type_mask(spark, d):
 
 
 @query(
-    """WITH f AS (SELECT o_custkey AS owner, o_orderkey % 150 AS friend, bit_or(CAST(1 << (o_orderkey % 4) AS INT)) AS cat FROM orders WHERE o_custkey < 150 GROUP BY 1, 2),
-    c AS (SELECT DISTINCT o_custkey AS owner, o_orderkey % 97 AS viewer FROM orders WHERE o_custkey < 150)
+    """WITH f AS (SELECT o_custkey AS owner, o_orderkey % 150 AS friend, bit_or(CAST(1 << (o_orderkey % 4) AS INT)) AS cat FROM orders GROUP BY 1, 2),
+    c AS (SELECT DISTINCT o_custkey AS owner, o_orderkey % 97 AS viewer FROM orders)
     SELECT c.owner, c.viewer, CASE WHEN c.viewer = 12 THEN false WHEN cat IS NOT NULL AND (cat >> 2) & 1 = 1 THEN true WHEN cat IS NOT NULL AND (cat >> 1) & 1 = 1 THEN false WHEN cat IS NOT NULL THEN true ELSE false END AS allowed
     FROM c LEFT JOIN f ON f.owner = c.owner AND f.friend = c.viewer"""
 )
 def f18_privacy_check(spark, d):
-    o = table(spark, d, "orders").where("o_custkey < 150")
+    o = table(spark, d, "orders")
     friends = o.groupBy(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 150).alias("friend")).agg(F.bit_or(F.expr("shiftleft(1, cast(o_orderkey % 4 AS int))")).alias("cat"))
     checks = o.select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 97).alias("viewer")).distinct()
     rules = P.privacy_rules("-12 +*2 -*1 +G -0")

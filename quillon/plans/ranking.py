@@ -58,9 +58,9 @@ def w7_list_modes(spark, d):
     return lists.retrieve(o, "o_orderkey", "o_orderdate", -5, 1, ["o_orderkey", "o_orderdate"])
 
 
-@query("SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS INT) AS pos FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS INT) AS pos FROM lineitem")
 def w8_entry_rank(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000")
+    li = table(spark, d, "lineitem")
     return lists.with_rank(li, ["l_orderkey"], ["l_partkey", "l_linenumber"]).select("l_orderkey", "l_partkey", "pos")
 
 
@@ -79,9 +79,9 @@ def w11_latest_per_peer(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last")).orderBy(F.desc("last"), "conv_id").limit(20)
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey <= 50 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 3")
 def w12_recent_friends(spark, d):
-    o = table(spark, d, "orders").where("o_custkey <= 50")
+    o = table(spark, d, "orders")
     return lists.with_rank(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).where("pos <= 3").select("o_custkey", "o_orderkey")
 
 
@@ -96,11 +96,11 @@ def w14_rate_scan(spark, d):
     return table(spark, d, "customer").where("c_nationkey < 10").orderBy("c_acctbal", "c_custkey").limit(25).select("c_custkey", "c_acctbal")
 
 
-AUCTION = "WITH p AS (SELECT c_custkey AS u, p_partkey AS ad, p_brand AS domain, p_retailprice * (p_size + 1) / (p_size * 20 + 1000) AS score FROM customer JOIN part ON c_nationkey = p_partkey % 25 AND c_custkey <= 200), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY u, domain ORDER BY score DESC, ad) = 1), a AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, ad) AS place FROM o) "
+AUCTION = "WITH p AS (SELECT c_custkey AS u, p_partkey AS ad, p_brand AS domain, p_retailprice * (p_size + 1) / (p_size * 20 + 1000) AS score FROM customer JOIN part ON c_nationkey = p_partkey % 25 AND c_custkey % 50 = 0), o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY u, domain ORDER BY score DESC, ad) = 1), a AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, ad) AS place FROM o) "
 
 
 def _auction(spark, d, n):
-    c, p = table(spark, d, "customer").where("c_custkey <= 200"), table(spark, d, "part")
+    c, p = table(spark, d, "customer").where("c_custkey % 50 = 0"), table(spark, d, "part")
     pairs = c.join(p, F.col("c_nationkey") == F.col("p_partkey") % 25).select(F.col("c_custkey").alias("user"), F.col("p_partkey").alias("ad"), F.col("p_brand").alias("domain"), ads.estimated_gain(F.col("p_retailprice"), F.col("p_size"), F.col("p_size") * 20).alias("score"))
     return ads.auction(pairs, n)
 
@@ -168,10 +168,10 @@ def w22_random_by_rating(spark, d):
     return table(spark, d, "part").orderBy(-F.log(u) / F.col("p_size"), "p_partkey").limit(20).select("p_partkey")
 
 
-@query("WITH r AS (SELECT c_custkey AS id, 1000.0 AS rating FROM customer WHERE c_custkey <= 4) SELECT id, CASE id WHEN 1 THEN 1030.0 WHEN 2 THEN 985.0 WHEN 3 THEN 985.0 ELSE 1000.0 END AS rating FROM r")
+@query("WITH r AS (SELECT c_custkey AS id, 1000.0 AS rating FROM customer) SELECT id, CASE id WHEN 1 THEN 1030.0 WHEN 2 THEN 985.0 WHEN 3 THEN 985.0 ELSE 1000.0 END AS rating FROM r")
 def w23_winner_transfer(spark, d):
     """The winner takes a share of each loser's rating; the rows of one event only."""
-    r = table(spark, d, "customer").where("c_custkey <= 4").select(F.col("c_custkey").alias("id"), F.lit(1000.0).alias("rating"))
+    r = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(1000.0).alias("rating"))
     loser, winner = F.col("id").isin(2, 3), F.col("id") == 1
     gain = r.agg(F.sum(F.when(loser, F.col("rating") * 0.015)).alias("gain"))
     return r.join(F.broadcast(gain)).select("id", F.round(F.when(winner, F.col("rating") + F.col("gain")).when(loser, F.col("rating") * 0.985).otherwise(F.col("rating")), 6).alias("rating"))
@@ -201,9 +201,9 @@ def w27_album_page(spark, d):
     return lists.retrieve(table(spark, d, "part").where("p_brand = 'Brand#13'"), "p_partkey", "p_size", -10, 5, ["p_partkey", "p_name"])
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey WHEN 9 THEN 3.5 ELSE c_custkey END::DOUBLE AS pos FROM customer WHERE c_custkey <= 12")
+@query("SELECT c_custkey AS id, CASE c_custkey WHEN 9 THEN 3.5 ELSE c_custkey END::DOUBLE AS pos FROM customer")
 def w28_reorder(spark, d):
-    e = table(spark, d, "customer").where("c_custkey <= 12").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("pos"))
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("pos"))
     return lists.reorder(e, 9, 4)
 
 
