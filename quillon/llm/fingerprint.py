@@ -3,7 +3,7 @@
 Canonical form: compatibility decomposition with combining marks in canonical order, case folding (lower of upper),
 white space folded to single spaces and trimmed. The fingerprint is two xxhash64 values of it, in hexadecimal. Equal
 fingerprints are confirmed by comparing canonical bytes: within a row where both texts are there, else against the
-bucket's least document (``exact_groups``).
+bucket's least document (``exact_groups``, whose groups the report carries).
 
 Scale: a projection; ``with_next`` shuffles the texts once by buckets between quantiles of doc_id, in which windows run, and only one row a bucket is handed to its neighbour. ``exact_groups`` shuffles digests, and texts only of rows
 in equal buckets; its hot buckets are summed before the shuffle and joined, never collected.
@@ -24,6 +24,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import stored
+
 #: Leading consonants, vowels and trailing consonants (the first is none) of Hangul syllables, in the order of their code points.
 LEADS, VOWELS, TRAILS = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 BUCKET_ROWS, MOST_BUCKETS = 2000, 65536
@@ -91,18 +93,28 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, group_id: the least doc_id of the documents with the same canonical bytes (null ids among them only if all are)."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("canon"))
-    marked = df.select("doc_id", "canon", wide(F.col("canon")).alias("fingerprint"))
-    bucket = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    single = marked.select("doc_id", "fingerprint").join(bucket.where("n = 1"), "fingerprint").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"))
-    many = marked.join(bucket.where("n > 1"), "fingerprint")
-    lead = many.where("doc_id <=> first").groupBy("fingerprint").agg(F.min("canon").alias("lead"))
-    told = many.join(lead, "fingerprint")
-    same = told.where("canon = lead").select("doc_id", "fingerprint", F.col("first").alias("group_id"))
-    other = told.where("canon <> lead")  # collisions of 128 bits
-    apart = other.join(other.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id")), ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id")
-    return single.unionByName(same).unionByName(apart)
+    """doc_id, text_hash, fingerprint, group_id of each row: the least doc_id of the documents with the same canonical bytes (null ids count only where all are null).
+
+    Rows are grouped by fingerprint; in groups of several the canonical bytes of each are compared with those of its least
+    document, and rows that differ from these (collisions of 128 bits) are grouped by the bytes themselves. The least
+    documents and the digests are tables, so a hot group is one side of a join that Spark can split.
+    """
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = stored(df.select("doc_id", "text_hash", wide(canonical(F.col("text"))).alias("fingerprint")), "digests")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
+    bucket = stored(marked.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count("*").alias("n")), "fingerprints")
+    name = F.when(~F.col("first.none"), F.col("first.id")).alias("group_id")
+    told = marked.join(bucket, "fingerprint")
+    single = told.where("n = 1").select("doc_id", "text_hash", "fingerprint", name)
+    many = stored(told.where("n > 1").select("doc_id", "text_hash", "fingerprint", "first").distinct(), "many")
+    key = lambda d: d.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))})
+    texts = key(df).join(key(many).drop("doc_id"), ["_none", "_id", "text_hash"]).select("doc_id", "text_hash", "fingerprint", "first", canonical(F.col("text")).alias("canon"))
+    lead = stored(texts.where(order == F.col("first")).groupBy("fingerprint").agg(F.first("canon").alias("lead")), "leads")
+    same = texts.join(lead, "fingerprint")
+    agree = same.where("canon = lead").select("doc_id", "text_hash", "fingerprint", name)
+    other = same.where("canon <> lead")
+    apart = other.join(other.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id")), ["fingerprint", "canon"]).select("doc_id", "text_hash", "fingerprint", "group_id")
+    return single.unionByName(agree).unionByName(apart)
 
 
 def _places(n: int) -> int:
@@ -149,10 +161,13 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (see ``exact_groups``) of each row."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = with_next(with_fingerprint(df)).withColumn("n_chars", F.length("text"))
     edited = F.expr("concat(left(text, n_chars - n_chars div 2), left(next_text, cast(n_chars div 2 AS int)))")
     df = df.withColumn("edited", edited).withColumn("edited_fingerprint", wide(canonical(F.col("edited"))))
     alike = lambda f, t: F.when(F.col("fingerprint") == F.col(f), (canonical(F.col("text")) == canonical(F.col(t))).cast("double")).otherwise(0.0)
-    return df.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint", "edited").alias("near_edited"), alike("next_fingerprint", "next_text").alias("near_next"))
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
+    out = df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint", "edited").alias("near_edited"), alike("next_fingerprint", "next_text").alias("near_next"))
+    groups = exact_groups(docs).withColumns(key).select("_none", "_id", "text_hash", "group_id").dropDuplicates(["_none", "_id", "text_hash"])
+    return out.withColumns(key).join(groups, ["_none", "_id", "text_hash"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
