@@ -3,7 +3,7 @@
 Canonical form: compatibility decomposition with combining marks in canonical order, case folding (lower of upper),
 white space folded to single spaces and trimmed. The fingerprint is two xxhash64 values of it, in hexadecimal. Equal
 fingerprints are confirmed by comparing canonical bytes: within a row where both texts are there, else against the
-bucket's least document (``exact_groups``, whose groups the report carries).
+bucket's least document (``exact_groups``).
 
 Scale: a projection; ``with_next`` shuffles the texts once by buckets between quantiles of doc_id, in which windows run, and only one row a bucket is handed to its neighbour. ``exact_groups`` shuffles digests, and texts only of rows
 in equal buckets; its hot buckets are summed before the shuffle and joined, never collected.
@@ -161,13 +161,10 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, group_id (see ``exact_groups``) of each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row; groups are ``exact_groups``'."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     df = with_next(with_fingerprint(df)).withColumn("n_chars", F.length("text"))
     edited = F.expr("concat(left(text, n_chars - n_chars div 2), left(next_text, cast(n_chars div 2 AS int)))")
     df = df.withColumn("edited", edited).withColumn("edited_fingerprint", wide(canonical(F.col("edited"))))
     alike = lambda f, t: F.when(F.col("fingerprint") == F.col(f), (canonical(F.col("text")) == canonical(F.col(t))).cast("double")).otherwise(0.0)
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
-    out = df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint", "edited").alias("near_edited"), alike("next_fingerprint", "next_text").alias("near_next"))
-    groups = exact_groups(docs).withColumns(key).select("_none", "_id", "text_hash", "group_id").dropDuplicates(["_none", "_id", "text_hash"])
-    return out.withColumns(key).join(groups, ["_none", "_id", "text_hash"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id")
+    return df.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", alike("edited_fingerprint", "edited").alias("near_edited"), alike("next_fingerprint", "next_text").alias("near_next"))
