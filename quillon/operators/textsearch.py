@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from quillon.operators.predicate import words_of
 
 _CYR, _LAT = "абвгдезийклмнопрстуфхыэ", "abvgdezijklmnoprstufhye"
 _KEYS_CYR, _KEYS_LAT = "йцукенгшщзхъфывапролджэячсмитьбю", "qwertyuiop[]asdfghjkl;'zxcvbnm,."
-MOST_DICTIONARY = 100_000
 
 
 def tokens(c: Column) -> Column:
@@ -36,6 +37,78 @@ def stem(c: Column) -> Column:
     return F.regexp_replace(c, r"^(.{3,}?)(?:ingly|edly|ing|ed|ly|ness|ment)$", "$1")
 
 
+#: Fixed values of the Russian stemmer: vowels, and endings by step; those of a first group stand after а or я only.
+_VOWELS = "аеиоуыэюя"
+_GERUND = ("в вши вшись", "ив ивши ившись ыв ывши ывшись")
+_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею"
+_PARTICIPLE = ("ем нн вш ющ щ", "ивш ывш ующ")
+_VERB = ("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно", "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю")
+_NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я"
+
+
+def _ending(first: str, second: str) -> str:
+    either = [f"(?<=[ая])(?:{'|'.join(first.split())})"] if first else []
+    return "(?:" + "|".join([*either, *second.split()]) + ")"
+
+
+def stem_russian(c: Column) -> Column:
+    """The Snowball stemmer of Russian over lower-case words; ё counts as е. Words without a vowel stay."""
+    word = F.replace(c, F.lit("ё"), F.lit("е"))
+    head = F.regexp_extract(word, f"^[^{_VOWELS}]*[{_VOWELS}]", 0)
+    adjectival = f"(?:{_ending(*_PARTICIPLE)})?(?:{'|'.join(_ADJECTIVE.split())})$"
+
+    def changed(x: Column, pattern: str) -> Column:
+        return F.regexp_replace(x, pattern, "")
+
+    def first(rv: Column) -> Column:
+        gerund = _ending(*_GERUND) + "$"
+        bare = changed(rv, "(?:ся|сь)$")
+        verb, noun = _ending(*_VERB) + "$", f"(?:{'|'.join(_NOUN.split())})$"
+        rest = F.when(F.rlike(bare, F.lit(adjectival)), changed(bare, adjectival)).when(F.rlike(bare, F.lit(verb)), changed(bare, verb)).otherwise(changed(bare, noun))
+        return F.when(F.rlike(rv, F.lit(gerund)), changed(rv, gerund)).otherwise(rest)
+
+    rv = changed(first(F.substr(word, F.length(head) + 1)), "и$")
+    out = F.concat(head, rv)
+    second = f"[^{_VOWELS}]*[{_VOWELS}]+[^{_VOWELS}]"
+    out = F.regexp_replace(out, f"^({second}{second}.*?)(?:ость|ост)$", "$1")
+    out = F.when(F.rlike(out, F.lit("(?:ейше|ейш)$")), F.regexp_replace(changed(out, "(?:ейше|ейш)$"), "нн$", "н")).when(F.rlike(out, F.lit("нн$")), changed(out, "н$")).otherwise(changed(out, "ь$"))
+    return F.when(head == "", c).otherwise(out)
+
+
+def stem_any(c: Column) -> Column:
+    """Russian or English by the word's letters."""
+    return F.when(F.rlike(c, F.lit("[а-яё]")), stem_russian(c)).otherwise(stem(c))
+
+
+def phrases_of(query: str) -> tuple[list[tuple[list[str], bool]], list[tuple[list[str], bool]]]:
+    """Phrases wanted and excluded of a query: double quotes are matched by stems, single quotes word by word, a leading minus excludes; bare words are phrases of one word by stems."""
+    wanted, excluded = [], []
+    for m in re.finditer(r"""(-?)(?:"([^"]*)"|'([^']*)'|([^\s"']+))""", query.lower()):
+        words = re.findall(r"\w+", m[2] or m[3] or m[4] or "")
+        if words:
+            (excluded if m[1] else wanted).append((words, m[3] is None))
+    return wanted, excluded
+
+
+def phrase_search(docs: DataFrame, query: str, most_extra: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, extra of the texts with all wanted phrases, and without any excluded one as it stands; extra is the worst phrase's number of words in between."""
+    wanted, excluded = phrases_of(query)
+    if not wanted:
+        raise ValueError("a phrase is needed")
+    plain = tokens(F.col(text))
+    df = docs.select(key, plain.alias("_w"), F.transform(plain, stem_any).alias("_s"))
+    stems = lambda words: [r[0] for r in docs.sparkSession.createDataFrame([(w,) for w in words], "w string").select(stem_any(F.col("w"))).collect()]
+    extra = lambda p: extra_words(F.col("_s" if p[1] else "_w"), stems(p[0]) if p[1] else p[0])
+    for p in excluded:
+        df = df.where(F.coalesce(extra(p) > 0, F.lit(True)))
+    cs = [extra(p).alias(f"_p{i}") for i, p in enumerate(wanted)]
+    df = df.select(key, *cs)
+    worst = F.greatest(*(F.col(f"_p{i}") for i in range(len(cs)))) if len(cs) > 1 else F.col("_p0")
+    for i in range(len(cs)):
+        df = df.where(F.col(f"_p{i}").isNotNull())
+    return df.select(key, worst.cast("int").alias("extra")).where(F.col("extra") <= most_extra)
+
+
 def best_of_groups(items: DataFrame, key: str, rating: str, group: str) -> DataFrame:
     """The best-rated item of each group (ties: lesser key), with groups, their number; group 0 is unset, each such item its own."""
     g = F.when(F.col(group) == 0, F.struct(F.lit(True).alias("own"), F.col(key).alias("id"))).otherwise(F.struct(F.lit(False).alias("own"), F.col(group).cast(items.schema[key].dataType).alias("id")))
@@ -117,15 +190,28 @@ def hints(objects: DataFrame, query: str, limit: int, now: int, half_life: float
     return objects.where(fits).withColumn("score", score).orderBy(F.desc("score"), key).limit(limit)
 
 
-def spell_check(docs: DataFrame, dictionary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, known, misspelt, other: words in the dictionary, one edit from a word of it, and the rest; distinct words are judged once."""
-    if len(dictionary) > MOST_DICTIONARY:
-        raise ValueError("the dictionary is too large for a literal")
-    w = docs.select(key, F.explode(tokens(F.col(text))).alias("word"))
-    d = F.array(*(F.lit(x) for x in dictionary))
-    kind = F.when(F.array_contains(d, F.col("word")), 0).when(F.exists(d, lambda x: F.levenshtein(F.col("word"), x, 1) >= 0), 1).otherwise(2)
-    kinds = w.select("word").distinct().withColumn("c", kind)
-    return w.join(kinds, "word").groupBy(key).agg(F.count_if(F.col("c") == 0).alias("known"), F.count_if(F.col("c") == 1).alias("misspelt"), F.count_if(F.col("c") == 2).alias("other"))
+def _shortened(c: Column) -> Column:
+    """A word and all that it is with one letter left out: words one edit apart share one of these."""
+    return F.array_union(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))))
+
+
+def nearest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """word, edits (0 or 1), suggestion (the least of the nearest) for the words (word) at most one edit from one of the dictionary (word)."""
+    own = words.select("word").distinct()
+    a = own.select("word", F.explode(_shortened(F.col("word"))).alias("_key"))
+    b = dictionary.select(F.col("word").alias("known")).distinct().select("known", F.explode(_shortened(F.col("known"))).alias("_key"))
+    pairs = a.join(b, "_key").select("word", "known").distinct().withColumn("edits", F.levenshtein("word", "known", 1)).where("edits >= 0")
+    best = pairs.groupBy("word").agg(F.min(F.struct("edits", "known")).alias("_b"))
+    return best.select("word", F.col("_b.edits").alias("edits"), F.col("_b.known").alias("suggestion"))
+
+
+def spell_check(docs: DataFrame, dictionary: list[str] | DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, known, misspelt, other: words in the dictionary, one edit from a word of it, and the rest; distinct words are judged once, over shortened forms, so that no word meets the whole dictionary."""
+    d = docs.sparkSession.createDataFrame([(x,) for x in dictionary], "word string") if isinstance(dictionary, list) else dictionary
+    w = docs.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    told = w.join(nearest(w, d).select("word", "edits"), "word", "left")
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return told.groupBy(key).agg(part(F.col("edits") == 0).alias("known"), part(F.col("edits") == 1).alias("misspelt"), part(F.col("edits").isNull()).alias("other"))
 
 
 def answers(questions: DataFrame, asked: str, n: int, key: str = "id", text: str = "text") -> DataFrame:

@@ -181,3 +181,46 @@ def f25_pattern_match(spark, d):
     patterns = spark.createDataFrame([(1, 0, 0, 0, "and"), (2, 3, 0, 16, "the"), (3, 0, 2, 0, "Licensed"), (4, 1, 1, 16, "on")], "id int, ip int, uahash int, flags int, pattern string")
     docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 5).cast("int").alias("ip"), (F.col("doc_id") % 3).cast("int").alias("uahash"), "text")
     return match_patterns(docs, patterns).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _keywords() -> list[tuple[str, str, str]]:
+    """(name, query, SQL over the made profiles) for each keyword of the table, in each form its kind allows."""
+    out = []
+    for name, kw in P.KEYWORDS.items():
+        column, low = name.replace(".", "_"), max(kw.least or 0, 1)
+        v = min(max(low, 3), kw.most if kw.most is not None else 3)
+        if kw.kind in ("eq", "range"):
+            if name in ("age", "future_age", "random", "birthday_soon"):
+                continue
+            out.append((f"{name}=", f"{name}={v}", f"{column} = {v}"))
+            if kw.kind == "range":
+                floor = f" AND {column} >= {kw.least}" if kw.least is not None and kw.least > 0 else ""
+                out += [(f"{name}>=", f"{name}>={v}", f"{column} >= {v}"), (f"{name}<=", f"{name}<={v}", f"{column} <= {v}{floor}")]
+        elif kw.kind == "words":
+            out.append((f"{name}=", f"{name}=w3", f"{column} = 3"))
+    return out + [("true", "true", "true"), ("false", "false", "false")]
+
+
+def _value(name: str) -> str:
+    """A number for each customer and keyword: unset for some, and around what the keyword allows for the others."""
+    kw, n = P.KEYWORDS[name], sum(map(ord, name)) % 97
+    low = max(kw.least or 0, 1)
+    return f"CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE {low} + (c_custkey * {n + 3}) % 5 END"
+
+
+VALUED = [n for n, kw in P.KEYWORDS.items() if kw.kind in ("eq", "range", "words")]
+
+
+@query("WITH p AS (SELECT c_custkey, " + ", ".join(f"({_value(n)})::INT AS {n.replace('.', '_')}" for n in VALUED) + ") " .replace(") ", " FROM customer) ") + " UNION ALL ".join(f"SELECT '{n}' AS keyword, count(*) AS n FROM p WHERE {s}" for n, _, s in _keywords()))
+def f2_every_keyword(spark, d):
+    """Each keyword in each form, over profiles with one row nested in each compound."""
+    word = lambda n: F.array(F.concat(F.lit("w"), F.expr(f"cast({_value(n)} AS string)")))
+    number = lambda n: F.expr(_value(n)).cast("int")
+    make = lambda n: word(n) if P.KEYWORDS[n].kind == "words" else number(n)
+    c = table(spark, d, "customer")
+    flat = {n: make(n) for n in VALUED if "." not in n and n not in ("age", "future_age", "random")}
+    nested = {k: F.array(F.struct(*(make(n).alias(n.split(".")[1]) for n in VALUED if n.startswith(k + ".")))) for k, kw in P.KEYWORDS.items() if kw.kind == "compound"}
+    p = c.select("c_custkey", *(v.alias(k) for k, v in (flat | nested).items()))
+    counts = p.agg(*(F.count_if(P.compiled(q)).alias(f"k{i}") for i, (_, q, _) in enumerate(_keywords())))
+    names = F.array(*(F.struct(F.lit(n).alias("keyword"), F.col(f"k{i}").alias("n")) for i, (n, _, _) in enumerate(_keywords())))
+    return counts.select(F.explode(names).alias("r")).select("r.*")

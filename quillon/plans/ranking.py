@@ -161,11 +161,13 @@ def w22_sort_by_rating(spark, d):
     return table(spark, d, "part").where("p_size = 7").orderBy(F.desc("p_retailprice"), "p_partkey").select("p_partkey")
 
 
-@query()
+@query("SELECT p_partkey FROM part ORDER BY round(-ln((('0x' || substr(md5(p_partkey || ':9'), 1, 15))::BIGINT % 1000003 + 1) / 1000004.0) / p_size, 12), p_partkey LIMIT 20")
 def w22_random_by_rating(spark, d):
     """Sampling weighted by rating, from a seeded hash."""
-    u = (F.pmod(F.xxhash64("p_partkey", F.lit(9)), F.lit(1_000_003)) + 1) / 1_000_004
-    return table(spark, d, "part").orderBy(-F.log(u) / F.col("p_size"), "p_partkey").limit(20).select("p_partkey")
+    from quillon.functions.maths import rand
+
+    u = (rand(0, 1_000_002, 9, F.col("p_partkey")) + 1) / 1_000_004
+    return table(spark, d, "part").orderBy(F.round(-F.log(u) / F.col("p_size"), 12), "p_partkey").limit(20).select("p_partkey")
 
 
 @query("WITH r AS (SELECT c_custkey AS id, 1000.0 AS rating FROM customer) SELECT id, CASE id WHEN 1 THEN 1030.0 WHEN 2 THEN 985.0 WHEN 3 THEN 985.0 ELSE 1000.0 END AS rating FROM r")

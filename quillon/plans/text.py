@@ -112,3 +112,17 @@ def t17_case_and_diacritics(spark, d):
 @query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS simple, translate(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS full_simple FROM documents")
 def t18_simplified_text(spark, d):
     return table(spark, d, "documents").select("doc_id", simplify(F.col("text")).alias("simple"), full_simplify(F.col("text")).alias("full_simple"))
+
+
+STEMS = [("важная", "важн"), ("важнейшей", "важн"), ("важности", "важност"), ("бегавшая", "бега"), ("валентина", "валентин"), ("вальсом", "вальс"), ("вековой", "веков"), ("величайшие", "величайш"), ("новости", "новост"), ("читаете", "чита"), ("книгами", "книг"), ("остались", "оста"), ("деревянный", "деревя"), ("в", "в")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in STEMS) + ") v(word, stem)")
+def t2_russian_stems(spark, d):
+    w = spark.createDataFrame([(w,) for w, _ in STEMS], "word string")
+    return w.select("word", textsearch.stem_any(F.col("word")).alias("stem"))
+
+
+@query("WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t) SELECT doc_id, 0 AS extra FROM s WHERE contains(s, ' the and ') AND NOT contains(s, ' of the ')")
+def w5_quoted_phrases(spark, d):
+    return textsearch.phrase_search(table(spark, d, "documents"), "'the and' -'of the'", 0)

@@ -184,3 +184,42 @@ def u23_task_queue(spark, d):
 def u24_random_bytes(spark, d):
     r = spark.range(100).select(F.hex(F.substring(F.unhex(F.sha2(F.concat(F.uuid(), F.col("id").cast("string")), 256)), 1, 8)).alias("h"))
     return r.groupBy(F.length("h").alias("n")).agg(F.count("*").alias("tokens"))
+
+
+LEDGER = """WITH l AS (SELECT o_orderkey AS t, o_custkey AS a, o_orderstatus AS s, o_totalprice AS x, o_orderkey % 7 AS k FROM orders),
+s AS (SELECT *, CASE WHEN k = 0 THEN 'cancelled' WHEN k = 1 THEN 'locked' WHEN k = 2 THEN 'declared' WHEN k = 3 THEN 'locked' ELSE 'committed' END AS state FROM l) """
+
+
+def _ledger(spark, d):
+    """Orders as transactions from a customer to account -1: locked and committed, cancelled, left open, or committed after the lock has run out."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("t"), F.col("o_custkey").alias("a"), F.col("o_totalprice").alias("x"), (F.col("o_orderkey") % 7).alias("k"))
+    legs = o.select("t", F.explode(F.array(F.struct(F.col("a").alias("account"), (-F.col("x")).alias("amount")), F.struct(F.lit(-1).cast("bigint").alias("account"), F.col("x").alias("amount")))).alias("l")).select("t", "l.account", F.lit(1).alias("currency"), "l.amount")
+    ops = F.expr("CASE WHEN k = 0 THEN array('declare', 'cancel', 'lock', 'commit') WHEN k = 1 THEN array('declare', 'lock') WHEN k = 2 THEN array('declare', 'commit', 'declare') WHEN k = 3 THEN array('declare', 'lock', 'wait', 'commit') ELSE array('declare', 'lock', 'commit', 'cancel') END")
+    events = o.select("t", F.posexplode(ops).alias("seq", "op")).withColumns({"at": F.when(F.col("op") == "commit", F.col("seq") * 100).otherwise(F.col("seq")).cast("bigint"), "until": F.when(F.col("op") == "lock", 250).cast("bigint")})
+    return legs, events
+
+
+@query(LEDGER + "SELECT t, state FROM s")
+def u17_transaction_states(spark, d):
+    from quillon.operators import ledger
+
+    return ledger.states(_ledger(spark, d)[1])
+
+
+@query(LEDGER + ", b AS (SELECT a AS account, -x AS amount, state FROM s UNION ALL SELECT -1, x, state FROM s) SELECT account, round(sum(CASE WHEN state = 'committed' THEN amount ELSE 0 END), 2) AS balance, round(sum(CASE WHEN state = 'locked' AND amount < 0 THEN -amount ELSE 0 END), 2) AS locked FROM b GROUP BY 1")
+def u17_balances_and_locks(spark, d):
+    from quillon.operators import ledger
+
+    legs, events = _ledger(spark, d)
+    return ledger.balances(legs, ledger.states(events)).select("account", F.round("balance", 2).alias("balance"), F.round("locked", 2).alias("locked"))
+
+
+@query("SELECT conv_id, turn, md5(text) AS patched, true AS smaller FROM conversations WHERE turn > 0")
+def t15_diff_and_patch(spark, d):
+    """Each turn as a patch of itself with a passage put in the middle."""
+    from quillon.operators import diffs
+
+    c = table(spark, d, "conversations").where("turn > 0").select("conv_id", "turn", "text")
+    old = F.concat(F.substring("text", 1, 40), F.lit("~~ something else that goes again ~~"), F.substring("text", 41, 1 << 30))
+    c = c.withColumn("old", old).withColumn("p", diffs.diff_column(F.col("old"), F.col("text")))
+    return c.select("conv_id", "turn", F.md5(diffs.patch_column(F.col("old"), F.col("p"))).alias("patched"), (F.octet_length("p") < F.octet_length("text") + 40).alias("smaller"))
