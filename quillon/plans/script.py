@@ -20,12 +20,20 @@ def family(name: str, source: str, key: str, base: dict[str, tuple[str, str]], c
 
     def run(spark, d):
         df = table(spark, d, source).select(F.col(key).alias("id"), *(F.expr(e).alias(n) for n, (e, _) in base.items()))
+        _bind()
         return df.select("id", *(build().alias(n) for n, build, _ in columns))
 
     query(sql, name)(run)
 
 
-n, s, t, i, k = (F.col(c) for c in "nstik")
+n = s = t = i = k = None  # the base columns, once there is a session
+
+
+def _bind() -> None:
+    global n, s, t, i, k
+    n, s, t, i, k = (F.col(c) for c in "nstik")
+
+
 joined = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), "|")
 hexed = lambda c: F.lower(F.hex(c))
 
