@@ -454,3 +454,79 @@ def e16_weights_storage(spark, d):
         _rows("fits", s.call("storage.checkFile", volume_id=1, file_size=10, max_disk_used_space_percent=90.0).withColumn("rq", F.lit(1)), "ok"),
         _rows("random", engine("random", spark, {}).call("random.random", n=32), "octet_length(bytes)"),
     )
+
+
+@query(
+    LISTS + """, c AS (SELECT c_custkey AS id, c_nationkey AS n, c_custkey * 7 % 100 AS rate FROM customer), w AS (SELECT doc_id, n_chars, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS w FROM documents),
+    t AS (SELECT s, o, l, f, d, v, row_number() OVER (PARTITION BY s ORDER BY o, l) AS r FROM e WHERE s % 5 = 2)
+    SELECT 'bits' AS op, s AS rq, r AS pos, 'flags ' || f || ' date ' || d || ' value none' AS x FROM t WHERE r <= 3
+    UNION ALL SELECT 'up', 0, row_number() OVER (ORDER BY n_chars, doc_id), doc_id::VARCHAR FROM w WHERE list_contains(w, 'the') QUALIFY row_number() OVER (ORDER BY n_chars, doc_id) <= 5
+    UNION ALL SELECT 'down', 0, row_number() OVER (ORDER BY n_chars DESC, doc_id), doc_id::VARCHAR FROM w WHERE list_contains(w, 'the') QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 5
+    UNION ALL SELECT 'ids', 0, row_number() OVER (ORDER BY doc_id DESC), doc_id::VARCHAR FROM w WHERE list_contains(w, 'the') OR list_contains(w, 'und') QUALIFY row_number() OVER (ORDER BY doc_id DESC) <= 5
+    UNION ALL SELECT 'friends', c_custkey % 10, row_number() OVER (PARTITION BY c_custkey % 10 ORDER BY c_custkey), c_nationkey + 1 || ' none' FROM customer WHERE c_custkey % 10 < 3
+    UNION ALL SELECT 'seen', 1, p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'gone' ELSE 'there' END FROM part WHERE p_partkey BETWEEN 1 AND 40
+    UNION ALL SELECT 'fields', conv_id * 1000 + turn, 0, length(text) || ' none ' || conv_id FROM conversations WHERE turn = 1
+    UNION ALL SELECT 'order', 0, row_number() OVER (ORDER BY id DESC), id::VARCHAR FROM c WHERE n = 4 QUALIFY row_number() OVER (ORDER BY id DESC) <= 6"""
+)
+def e17_mode_flags(spark, d):
+    """Bits and letters that change what an operation shows or how it sorts."""
+    from quillon.engines.search import by_letters
+
+    lists = _lists(spark, d)
+    by = table(spark, d, "supplier").where("s_suppkey % 5 = 2").select(F.col("s_suppkey").alias("rq"), F.array("s_suppkey").alias("list_id"), F.lit(64 + 128).alias("mode"), F.lit(3).alias("limit"), F.lit(0).alias("offset"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    found = engine("search", spark, {"items": docs.select(F.array(F.col("doc_id").cast("int")).alias("id"), F.create_map(F.lit(0), F.col("n_chars").cast("int")).alias("rates"), "text")})
+    c = table(spark, d, "customer")
+    f = engine("friends", spark, {"friends": c.where("c_custkey % 10 < 3").select((F.col("c_custkey") % 10).cast("int").alias("uid"), F.col("c_custkey").cast("int").alias("friend"), (F.col("c_nationkey") + 1).alias("mask"), F.lit(5).alias("time"))})
+    users = spark.range(3).select(F.col("id").alias("rq"), F.col("id").alias("uid"), F.lit(0).alias("mask"), F.lit(1).alias("mode"))
+    p = table(spark, d, "part").where("p_partkey BETWEEN 1 AND 40").select(F.lit("photo").alias("kind"), F.lit(1).alias("owner_id"), F.col("p_partkey").cast("int").alias("id"), F.lit(2).alias("album_id"), (F.col("p_partkey") % 4 == 0).alias("deleted"), F.col("p_partkey").cast("double").alias("place"))
+    photos = engine("photo", spark, {"objects": p})
+    show = lambda mask: photos.call("photo.getPhotos", owner_id=1, album_id=2, fields_mask=mask, offset=0, limit=1000, is_reverse=False, condition="")
+    every = show(1 + (1 << 29)).select("id").join(show(1).select("id", F.lit(True).alias("t")), "id", "left").select(F.lit(1).alias("rq"), "id", F.when(F.col("t"), "there").otherwise("gone").alias("s"))
+    conv = table(spark, d, "conversations").where("turn = 1")
+    texts = engine("text", spark, {"messages": conv.select(F.lit(1).alias("uid"), (F.col("conv_id") * 1000 + F.col("turn")).cast("int").alias("local_id"), F.col("conv_id").cast("int").alias("peer_id"), "text", F.lit(9).alias("date"))})
+    one = texts.state["messages"].select(F.col("local_id").alias("rq"), "uid", "local_id", F.lit(16 + 128).alias("flags"), F.lit(0).alias("max_len"))
+    t = engine("targ", spark, {"users": c.select(F.col("c_custkey").cast("int").alias("id"), F.col("c_nationkey").alias("country"), (F.col("c_custkey") * 7 % 100).cast("int").alias("rate"))})
+    none = "coalesce(cast({} AS string), 'none')".format
+    return _all(
+        _rows("bits", lists.batch("lists.getListFullLimit", by), f"concat('flags ', flags, ' date ', date, ' value ', {none('value')})", "pos"),
+        _rows("up", by_letters(found, "r", 5, "the"), "id[0]", "pos"), _rows("down", by_letters(found, "R", 5, "the"), "id[0]", "pos"),
+        _rows("ids", by_letters(found, "XI", 5, "the | und").withColumn("p", F.expr("row_number() OVER (ORDER BY id DESC)")), "id[0]", "p"),
+        _rows("friends", f.batch("friends.getFriends", users), f"concat(mask, ' ', {none('time')})", "pos"), _rows("seen", every, "s", "id"),
+        _rows("fields", texts.batch("text.getMessage", one), f"concat(length(text), ' ', {none('date')}, ' ', peer_id)"),
+        _rows("order", t.call("targ.search", mode=2 + 4, limit=6, user_list=[], query="country=4"), "uid", "pos"),
+    )
+
+
+@query(
+    LISTS + """SELECT 'list' AS op, 3 AS rq, row_number() OVER (ORDER BY o DESC, l DESC) AS pos, o || ':' || l AS x FROM e WHERE s = 3 QUALIFY row_number() OVER (ORDER BY o DESC, l DESC) <= 4
+    UNION ALL SELECT 'value', 0, 0, '14' UNION ALL SELECT 'count', 4, 0, count(*)::VARCHAR FROM e WHERE s = 4 AND f & 7 <> 2 UNION ALL SELECT 'cached', 0, 0, '12'"""
+)
+def s15_text_commands(spark, d):
+    from quillon.engines.protocol import execute
+
+    e, m = _lists(spark, d), engine("memcache", spark, {})
+    for command, value in (("set entry999_1:2", "3,10"), ("incr value999_1:2", "4"), ("delete list4,2", "")):
+        execute(e, "lists", command, value)
+    for command, value in (("set k", "7"), ("add k", "9"), ("incr k", "5")):
+        execute(m, "memcache", command, value)
+    return _all(
+        _rows("list", execute(e, "lists", "get list3,16#4").withColumn("rq", F.lit(3)), "concat(object_id[0], ':', object_id[1])", "pos"), _rows("value", execute(e, "lists", "get value999_1:2"), "value"),
+        _rows("count", execute(e, "lists", "get count4").withColumn("rq", F.lit(4)), "n"), _rows("cached", execute(m, "memcache", "get k"), "value"),
+    )
+
+
+@query("WITH s AS (SELECT event_type AS type, round(avg(value), 6) AS mean, floor(max(value) - min(value))::BIGINT AS spread, round(sum(value * 2 + user_id), 4) AS total FROM events GROUP BY 1) SELECT type, mean, spread, total, len(type) AS letters FROM s")
+def sf10_user_code(spark, d):
+    """A scalar, an SQL, an aggregate and a table function of the user's, and a formula."""
+    from quillon.functions import user
+
+    user.register_scalar(spark, "q_letters", len, "int")
+    user.register_sql(spark, "q_double", "x DOUBLE", "DOUBLE", "x * 2")
+    user.register_aggregate(spark, "q_spread", lambda v: float(int(v.max() - v.min())), "double")
+    user.register_table(spark, "q_letters_of", lambda t: ((c,) for c in t), "c string")
+    e = table(spark, d, "events").withColumn("own", user.formula(table(spark, d, "events"), "value * 2 + user_id"))
+    e.createOrReplaceTempView("q_events")
+    s = spark.sql("SELECT type, mean, cast(spread AS bigint) AS spread, total FROM (SELECT event_type AS type, round(sum(q_double(value)) / 2 / count(*), 6) AS mean, round(sum(own), 4) AS total FROM q_events GROUP BY event_type) JOIN (SELECT event_type AS type, q_spread(value) AS spread FROM q_events GROUP BY event_type) USING (type)")
+    s.createOrReplaceTempView("q_sums")
+    return spark.sql("SELECT type, mean, spread, total, count(c) AS letters FROM q_sums, LATERAL q_letters_of(type) GROUP BY type, mean, spread, total HAVING q_letters(type) = count(c)")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillon.operators.predicate import compiled, words_of
 from quillon.sources.scratch import new_path
 
+MOST_WATCHED = 50_000
+
 
 def follow(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A Parquet table as a stream of its files."""
@@ -57,10 +59,15 @@ def expired(events: DataFrame, key: str, time: str, hold: str, late: str = "0 se
 
 
 def watched(docs: DataFrame, watches: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, watch of each text with all words of a watch (watch, words); a watch meets texts over its longest word."""
+    """key, watch of each text with all words of a watch (watch, words); a watch meets texts over its longest word.
+
+    Up to MOST_WATCHED such words are known to the plan, and a text goes on only for those of them that it has; with more, it does for each of its words.
+    """
     rarest = F.get(F.transform(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x.w), F.lit(0))
     own = watches.select("watch", "words", rarest.alias("_word"))
-    tokens = docs.select(key, words_of(F.col(text)).alias("_own")).withColumn("_word", F.explode("_own"))
+    known = [r[0] for r in own.select("_word").where("_word IS NOT NULL").distinct().limit(MOST_WATCHED + 1).collect()]
+    some = F.filter("_own", lambda w: w.isin(known)) if len(known) <= MOST_WATCHED else F.col("_own")
+    tokens = docs.select(key, words_of(F.col(text)).alias("_own")).withColumn("_word", F.explode(some))
     return tokens.join(own, "_word").where(F.forall("words", lambda w: F.array_contains("_own", w))).select(key, "watch")
 
 
