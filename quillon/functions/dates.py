@@ -181,7 +181,7 @@ def parse_time(text: str | None, now: int, zone: str = "UTC") -> int | None:
     offset = re.search(r"(?<=[0-9 ])(Z|UTC|GMT|[+-]\d\d:?\d\d)$", t)
     if offset and re.search(r"\d{4}.*\d:\d\d", t):
         t = t[: offset.start()].strip()
-    for f in _ABSOLUTE:
+    for f in _ABSOLUTE if re.search(r"\d{4}", t) else ():
         try:
             at = datetime.datetime.strptime(t, f)
         except ValueError:

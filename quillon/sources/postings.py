@@ -1,7 +1,7 @@
 """Stored inverted indexes: built by segments, merged, searched.
 
 A row is (word, part, ids): the sorted ids of a word, cut into parts of PART ids by their range, so that the rows of a very
-common word stay bounded. Lists may be stored as gaps, which Parquet packs into few bits.
+common word stay bounded. Parquet's second page format packs their differences into few bits.
 """
 
 from __future__ import annotations
@@ -38,16 +38,17 @@ def gaps(ids: Column) -> Column:
 
 
 def ungapped(d: Column) -> Column:
+    """The list of its gaps again; for lists of some hundreds, as each number copies those before it."""
     return F.aggregate(d, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
 
 
 def save(index: DataFrame, path: str) -> None:
     """Sorted by word, so that a search reads only the files and row groups of its words."""
-    index.withColumn("ids", gaps(F.col("ids"))).repartitionByRange("word").sortWithinPartitions("word", "part").write.mode("errorifexists").parquet(path)
+    index.repartitionByRange("word").sortWithinPartitions("word", "part").write.option("parquet.writer.version", "v2").mode("errorifexists").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("ids", ungapped(F.col("ids")))
+    return spark.read.parquet(path)
 
 
 def all_of(index: DataFrame, words: list[str]) -> DataFrame:
