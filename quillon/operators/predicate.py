@@ -27,26 +27,102 @@ class Keyword(NamedTuple):
     column: str | None = None
 
 
-def _kw(kind: str, text: str) -> dict[str, Keyword]:
-    out = {}
-    for part in text.split():
-        name, _, bounds = part.partition(":")
-        low, _, high = bounds.partition("..")
-        out[name] = Keyword(kind, int(low) if low else None, int(high) if high else None)
-    return out
-
-
-#: The profile keywords; numeric maxima that the public sources name only by constants are left open.
-KEYWORDS: dict[str, Keyword] = (
-    _kw("range", "id:1..2000000000 bday_day:1..31 bday_month:1..12 bday_year:1900..2017 browser:0.. hidden:0.. countries_visited:0.. timezone online:0..2147483647 random:0..1000 age:0..127 future_age:0..127 height:0.. "
-        "education.graduation:1900..2033 school.graduation:1900..2033 military.start:1900..2033 military.finish:1900..2033 " + " ".join(f"custom{i}:0.." for i in range(1, 16)))
-    | _kw("eq", "country:1..255 city:1.. political:0.. sex:0.. operator:0.. region:0.. smoking:0.. alcohol:0.. personal_priority:0.. important_in_others:0.. status:0.. has_photo:0..1 uses_apps:0..1 pays_money:0..1 privacy:0.. gcountry:0.. birthday_soon:0.. "
-        "education.country:1..255 education.city:1.. education.university:1.. education.faculty:1.. education.chair:1.. education.form:0.. education.status:0.. school.country:1..255 school.city:1.. school.id:0.. school.class:1..102 "
-        "address.country:1..255 address.city:1.. address.district:1.. address.station:1.. address.street:1.. address.type:1.. group.type:1..127 group.id military.unit:1.. lang.id")
-    | _kw("words", "name name_interests interests religion hometown proposal school.spec address.house address.name company.name company.job")
-    | _kw("flag", "true false birthday_today birthday_tomorrow in_list")
-    | _kw("compound", "education school address group company military lang")
-)
+#: The profile keywords with kind and bounds; numeric maxima that the public sources name only by constants are left open.
+KEYWORDS: dict[str, Keyword] = {
+    "id": Keyword("range", 1, 2000000000),
+    "bday_day": Keyword("range", 1, 31),
+    "bday_month": Keyword("range", 1, 12),
+    "bday_year": Keyword("range", 1900, 2017),
+    "browser": Keyword("range", 0),
+    "hidden": Keyword("range", 0),
+    "countries_visited": Keyword("range", 0),
+    "timezone": Keyword("range"),
+    "online": Keyword("range", 0, 2147483647),
+    "random": Keyword("range", 0, 1000),
+    "age": Keyword("range", 0, 127),
+    "future_age": Keyword("range", 0, 127),
+    "height": Keyword("range", 0),
+    "education.graduation": Keyword("range", 1900, 2033),
+    "school.graduation": Keyword("range", 1900, 2033),
+    "military.start": Keyword("range", 1900, 2033),
+    "military.finish": Keyword("range", 1900, 2033),
+    "custom1": Keyword("range", 0),
+    "custom2": Keyword("range", 0),
+    "custom3": Keyword("range", 0),
+    "custom4": Keyword("range", 0),
+    "custom5": Keyword("range", 0),
+    "custom6": Keyword("range", 0),
+    "custom7": Keyword("range", 0),
+    "custom8": Keyword("range", 0),
+    "custom9": Keyword("range", 0),
+    "custom10": Keyword("range", 0),
+    "custom11": Keyword("range", 0),
+    "custom12": Keyword("range", 0),
+    "custom13": Keyword("range", 0),
+    "custom14": Keyword("range", 0),
+    "custom15": Keyword("range", 0),
+    "country": Keyword("eq", 1, 255),
+    "city": Keyword("eq", 1),
+    "political": Keyword("eq", 0),
+    "sex": Keyword("eq", 0),
+    "operator": Keyword("eq", 0),
+    "region": Keyword("eq", 0),
+    "smoking": Keyword("eq", 0),
+    "alcohol": Keyword("eq", 0),
+    "personal_priority": Keyword("eq", 0),
+    "important_in_others": Keyword("eq", 0),
+    "status": Keyword("eq", 0),
+    "has_photo": Keyword("eq", 0, 1),
+    "uses_apps": Keyword("eq", 0, 1),
+    "pays_money": Keyword("eq", 0, 1),
+    "privacy": Keyword("eq", 0),
+    "gcountry": Keyword("eq", 0),
+    "birthday_soon": Keyword("eq", 0),
+    "education.country": Keyword("eq", 1, 255),
+    "education.city": Keyword("eq", 1),
+    "education.university": Keyword("eq", 1),
+    "education.faculty": Keyword("eq", 1),
+    "education.chair": Keyword("eq", 1),
+    "education.form": Keyword("eq", 0),
+    "education.status": Keyword("eq", 0),
+    "school.country": Keyword("eq", 1, 255),
+    "school.city": Keyword("eq", 1),
+    "school.id": Keyword("eq", 0),
+    "school.class": Keyword("eq", 1, 102),
+    "address.country": Keyword("eq", 1, 255),
+    "address.city": Keyword("eq", 1),
+    "address.district": Keyword("eq", 1),
+    "address.station": Keyword("eq", 1),
+    "address.street": Keyword("eq", 1),
+    "address.type": Keyword("eq", 1),
+    "group.type": Keyword("eq", 1, 127),
+    "group.id": Keyword("eq"),
+    "military.unit": Keyword("eq", 1),
+    "lang.id": Keyword("eq"),
+    "name": Keyword("words"),
+    "name_interests": Keyword("words"),
+    "interests": Keyword("words"),
+    "religion": Keyword("words"),
+    "hometown": Keyword("words"),
+    "proposal": Keyword("words"),
+    "school.spec": Keyword("words"),
+    "address.house": Keyword("words"),
+    "address.name": Keyword("words"),
+    "company.name": Keyword("words"),
+    "company.job": Keyword("words"),
+    "true": Keyword("flag"),
+    "false": Keyword("flag"),
+    "birthday_today": Keyword("flag"),
+    "birthday_tomorrow": Keyword("flag"),
+    "in_list": Keyword("flag"),
+    "education": Keyword("compound"),
+    "school": Keyword("compound"),
+    "address": Keyword("compound"),
+    "group": Keyword("compound"),
+    "company": Keyword("compound"),
+    "military": Keyword("compound"),
+    "lang": Keyword("compound"),
+}
 
 _TOKEN = re.compile(r"\s*(>=|<=|!=|==|=|<|>|&&|\|\||[!&|().?]|-?\d+(?:\.\d+)?|\"[^\"]*\"|'[^']*'|[A-Za-z_]\w*)")
 
