@@ -30,3 +30,8 @@ def events(spark, users):
 
 def test_half_lives_of_all_users(spark, tmp_path):
     same(spark, tmp_path, "a29_half_life_table", events=events(spark, [3, 999, 1002, 1002, 30_000, 30_001]))
+
+
+def test_texts_without_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b A"), (2, " ..., "), (3, ""), (4, None)], "doc_id long, text string")
+    assert same(spark, tmp_path, "a42_distinct_words", documents=docs) == [(1, 2)]
