@@ -35,3 +35,7 @@ def test_half_lives_of_all_users(spark, tmp_path):
 def test_texts_without_words(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b A"), (2, " ..., "), (3, ""), (4, None)], "doc_id long, text string")
     assert same(spark, tmp_path, "a42_distinct_words", documents=docs) == [(1, 2)]
+
+
+def test_numbers_beyond_16_bits(spark, tmp_path):
+    same(spark, tmp_path, "sf9_encodings", events=events(spark, [7, 65_535, 65_536, 900_001]))
