@@ -128,10 +128,17 @@ def _get(e: Engine, requests: DataFrame) -> DataFrame:
     return requests.join(e.live(), "key", "left").select("rq", "value", "flags", F.col("value").isNotNull().alias("found"))
 
 
+def _beginnings(rows: DataFrame, sizes: DataFrame, begin: str, size: str) -> DataFrame:
+    """rows once for each of the sizes (_n) that their key reaches, with its first _n parts as prefix: prefixes are met by an equi-join."""
+    own = sizes.where("_n >= 0").agg(F.collect_set("_n").alias("_sizes"))  # as many as lengths of a prefix
+    each = rows.join(F.broadcast(own)).withColumn("_n", F.explode("_sizes")).where(F.expr(f"_n <= {size}"))
+    return each.withColumn("prefix", F.expr(begin)).drop("_sizes", "_n")
+
+
 @op("memcache.getWildcard", "prefix:string")
 def _wild(e: Engine, requests: DataFrame) -> DataFrame:
     """Keys that begin with the prefix, without it."""
-    rows = requests.join(e.live(), F.startswith("key", F.col("prefix")))
+    rows = requests.join(_beginnings(e.live(), requests.select(F.length("prefix").alias("_n")), "substring(key, 1, _n)", "length(key)"), "prefix")
     return rows.select("rq", F.substr("key", F.length("prefix") + 1).alias("key"), "value")
 
 
@@ -169,7 +176,11 @@ def _range(wild: bool, count: bool):
         rows = _live(e).select("key", "value")
         if wild:
             q = requests.withColumnRenamed("key", "prefix")
-            hit = q.join(rows, F.expr("slice(key, 1, size(prefix)) = prefix"))
+            each = _beginnings(rows, q.select(F.size("prefix").alias("_n")), "slice(key, 1, _n)", "size(key)")
+            if count:
+                each = each.groupBy("prefix").agg(F.count("*").alias("n"))
+                return q.select("rq", "prefix").join(each, "prefix", "left").select("rq", F.coalesce("n", F.lit(0)).alias("n"))
+            hit = q.join(each, "prefix")
         else:
             hit = requests.join(rows, F.expr("key >= left AND key < right"))
         if count:
