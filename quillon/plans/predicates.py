@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import predicate as P
-from quillon.plans.registry import query, table
+from quillon.plans.registry import query, spread, table
 
 #: Keywords over the standard tables, beside those of profiles.
 KEYWORDS = P.KEYWORDS | {
@@ -217,7 +217,7 @@ def f2_every_keyword(spark, d):
     word = lambda n: F.array(F.concat(F.lit("w"), F.expr(f"cast({_value(n)} AS string)")))
     number = lambda n: F.expr(_value(n)).cast("int")
     make = lambda n: word(n) if P.KEYWORDS[n].kind == "words" else number(n)
-    c = table(spark, d, "customer")
+    c = spread(table(spark, d, "customer").select("c_custkey"))
     flat = {n: make(n) for n in VALUED if "." not in n and n not in ("age", "future_age", "random")}
     nested = {k: F.array(F.struct(*(make(n).alias(n.split(".")[1]) for n in VALUED if n.startswith(k + ".")))) for k, kw in P.KEYWORDS.items() if kw.kind == "compound"}
     p = c.select("c_custkey", *(v.alias(k) for k, v in (flat | nested).items()))
