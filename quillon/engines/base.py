@@ -4,14 +4,15 @@ An engine holds its state as DataFrames (``Table``: columns, keys, defaults). An
 DataFrame with a column for each argument and ``rq``, the request's number (unique, and the order within the batch), and
 gives a DataFrame of (rq, result columns). A single call is a batch of one row. Writes replace the engine's tables by new
 ones, so whole batches are joins and aggregations on keys: nothing goes through the driver, and requests on one key
-meet there in order. After CUT writes a table is written out in the shared folder, which cuts its lineage; ``save`` writes a
-snapshot of all tables.
+meet there in order. The kinds of writes below read the table once; after CUT of these (others count DEEP times) it is written out
+in the shared folder, which cuts its lineage; ``save`` writes a snapshot of all tables.
 
 Types of arguments: int, long, double, string, bool, ints, longs, strings (arrays). Other Spark types may be written out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -21,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from quillon.sources.scratch import written
 
-CUT = 3
+CUT, DEEP = 8, 3
 TYPES = {"bool": "boolean", "ints": "array<int>", "longs": "array<bigint>", "strings": "array<string>"}
 
 
@@ -72,7 +73,7 @@ class Engine:
         out = o.run(self, typed)
         for table, now in self.state.items():
             if now is not before[table]:
-                self.depth[table] = self.depth.get(table, 0) + 1
+                self.depth[table] = self.depth.get(table, 0) + (1 if getattr(o.run, "once", False) else DEEP)
                 if self.depth[table] >= CUT:
                     self.state[table], self.depth[table] = written(now, table), 0
         return out
@@ -127,10 +128,27 @@ def _keyed(requests: DataFrame, by: dict[str, str] | None) -> DataFrame:
     return requests.withColumnsRenamed(by or {})
 
 
-def last_of(requests: DataFrame, keys: list[str]) -> DataFrame:
-    """The last request of each key."""
+def last_of(requests: DataFrame, keys: list[str], pick: Callable = F.max_by) -> DataFrame:
+    """The last request of each key (F.min_by: the first); column by column, so that numbers need no sort."""
     rest = [c for c in requests.columns if c not in keys]
-    return requests.groupBy(*keys).agg(F.max_by(F.struct(*rest), "rq").alias("_v")).select(*keys, *(F.col(f"_v.{c}").alias(c) for c in rest))
+    return requests.groupBy(*keys).agg(*(pick(c, "rq").alias(c) for c in rest))
+
+
+def _once(run: Callable) -> Callable:
+    """Marks a write whose new table reads the old one once."""
+    run.once = True
+    return run
+
+
+def _asked(q: DataFrame, cols: list[str]) -> DataFrame:
+    """The requests on the same columns as one row: _q, an array with the last first."""
+    late = lambda a, b: F.when(a["rq"] > b["rq"], -1).when(a["rq"] < b["rq"], 1).otherwise(0)
+    return q.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct(*(c for c in q.columns if c not in cols))), late).alias("_q"))
+
+
+def _of(name: str, sql: str) -> str:
+    """An expression over q_<argument> as one over the fields of a struct."""
+    return re.sub(r"\bq_(?=\w)", f"{name}.q_", sql)
 
 
 def put(table: str, mode: str = "set", by: dict[str, str] | None = None, values: dict[str, Column | str] | None = None, merge: bool = True):
@@ -150,20 +168,19 @@ def put(table: str, mode: str = "set", by: dict[str, str] | None = None, values:
         if mode == "add":
             first = seen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("rq")))
             ok = first.select("rq", ((F.col("_n") == 1) & ~F.col("_there")).alias("ok"))
-            new = first.where((F.col("_n") == 1) & ~F.col("_there"))
         else:
-            allowed = F.col("_there") if mode == "replace" else F.lit(True)
-            ok = seen.select("rq", allowed.alias("ok"))
-            new = last_of(seen.where(allowed), keys)
+            ok = seen.select("rq", (F.col("_there") if mode == "replace" else F.lit(True)).alias("ok"))
+        new = last_of(r.select("rq", *keys, *own), keys, F.min_by if mode == "add" else F.max_by)
         new = new.select(*keys, *(F.col(c).alias(f"_{c}") for c in own), F.lit(True).alias("_new"))
         rest = [c for c in old.columns if c not in keys]
         default = lambda c: F.lit(t.defaults.get(c)).cast(old.schema[c].dataType)
-        held = old.withColumn("_old", F.lit(True)).join(new, keys, "full")
+        held = old.withColumn("_old", F.lit(True)).join(new, keys, "left" if mode == "replace" else "full")
+        held = held.withColumn("_new", F.when(F.col("_old").isNull(), True)) if mode == "add" else held
         pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) if c in own else F.when(F.col("_old") if merge else F.col("_old") & F.col("_new").isNull(), F.col(c)).otherwise(default(c))
         e.state[table] = held.select(*keys, *(pick(c).cast(old.schema[c].dataType).alias(c) for c in rest)).select(*old.columns)
         return ok
 
-    return run
+    return _once(run)
 
 
 def drop(table: str, by: dict[str, str] | None = None, on: list[str] | None = None, where: str | None = None):
@@ -177,10 +194,14 @@ def drop(table: str, by: dict[str, str] | None = None, on: list[str] | None = No
         hit = old.join(q, cols)
         hit = hit.where(F.expr(where)) if where else hit
         gone = hit.groupBy(*keys).agg(F.min("rq").alias("rq"))
-        e.state[table] = old.join(gone.select(*keys), keys, "left_anti").select(*old.columns)
+        if where:
+            fits = F.expr(f"exists(_q, _x -> coalesce({_of('_x', where)}, false))")
+            e.state[table] = old.join(_asked(q, cols), cols, "left").where(~F.coalesce(fits, F.lit(False))).select(*old.columns)
+        else:
+            e.state[table] = old.join(r.select(*cols).distinct(), cols, "left_anti").select(*old.columns)
         return r.select("rq").join(gone.groupBy("rq").agg(F.count("*").alias("n")), "rq", "left").select("rq", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("ok"))
 
-    return run
+    return _once(run)
 
 
 def change(table: str, set_: dict[str, str], by: dict[str, str] | None = None, on: list[str] | None = None, where: str | None = None):
@@ -193,13 +214,16 @@ def change(table: str, set_: dict[str, str], by: dict[str, str] | None = None, o
         q = r.select(*cols, "rq", *(F.col(c).alias(f"q_{c}") for c in r.columns if c not in cols and c != "rq"))
         hit = old.join(q, cols)
         hit = hit.where(F.expr(where)) if where else hit
-        hit = hit.select(*keys, "rq", *(F.expr(x).cast(old.schema[c].dataType).alias(f"_{c}") for c, x in set_.items()))
         count = hit.groupBy("rq").agg(F.count("*").alias("n"))
-        new = last_of(hit, keys).drop("rq").withColumn("_hit", F.lit(True))
-        e.state[table] = old.join(new, keys, "left").select(*(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in old.columns))
+        if where and "q_" in where:  # the last request that fits the row
+            held = old.join(_asked(q, cols), cols, "left").withColumn("_a", F.expr(f"get(filter(_q, _x -> {_of('_x', where)}), 0)")).withColumn("_hit", F.col("_a").isNotNull())
+        else:
+            held = old.join(last_of(q, cols).select(*cols, F.struct(*(c for c in q.columns if c not in cols)).alias("_a")), cols, "left")
+            held = held.withColumn("_hit", F.col("_a").isNotNull() & (F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)))
+        e.state[table] = held.select(*(F.when(F.col("_hit"), F.expr(_of("_a", set_[c])).cast(old.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in set_ else F.col(c) for c in old.columns))
         return r.select("rq").join(count, "rq", "left").select("rq", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) > 0).alias("ok"))
 
-    return run
+    return _once(run)
 
 
 def add_to(table: str, column: str, by: dict[str, str] | None = None, amount: str = "value", create: bool = False, extra: dict[str, str] | None = None):
@@ -223,7 +247,7 @@ def add_to(table: str, column: str, by: dict[str, str] | None = None, amount: st
         e.state[table] = joined.select(*((F.when(F.col("_hit") | F.col(c).isNotNull(), value(c)) if c == column else value(c)).cast(old.schema[c].dataType).alias(c) if c not in keys else F.col(c) for c in old.columns))
         return out
 
-    return run
+    return _once(run)
 
 
 def get(table: str, result: dict[str, str] | str, by: dict[str, str] | None = None, where: str | None = None):
@@ -300,7 +324,7 @@ def bits(table: str, column: str, clear: bool = False, by: dict[str, str] | None
         e.state[table] = out
         return r.select("rq", *keys).join(out.select(*keys, F.col(column).alias("value")), keys, "left").select("rq", "value")
 
-    return run
+    return _once(run)
 
 
 def first_of(*runs):
