@@ -206,10 +206,14 @@ def nearest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def spell_check(docs: DataFrame, dictionary: list[str] | DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, known, misspelt, other: words in the dictionary, one edit from a word of it, and the rest; distinct words are judged once, over shortened forms, so that no word meets the whole dictionary."""
+    """key, known, misspelt, other: words in the dictionary, one edit from a word of it, and the rest; distinct words are judged once, over shortened forms, so that no word meets the whole dictionary. What is near the words of a list is broadcast, so that no word of a text is shuffled."""
     d = docs.sparkSession.createDataFrame([(x,) for x in dictionary], "word string") if isinstance(dictionary, list) else dictionary
-    w = docs.select(key, F.explode(tokens(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    told = w.join(nearest(w, d).select("word", "edits"), "word", "left")
+    w = docs.select(key, F.explode(tokens(F.col(text))).alias("word"))
+    near = nearest(w, d).select("word", "edits")
+    if isinstance(dictionary, list):
+        told = w.withColumn("n", F.lit(1).cast("bigint")).join(F.broadcast(near), "word", "left")
+    else:
+        told = w.groupBy(key, "word").agg(F.count("*").alias("n")).join(near, "word", "left")
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return told.groupBy(key).agg(part(F.col("edits") == 0).alias("known"), part(F.col("edits") == 1).alias("misspelt"), part(F.col("edits").isNull()).alias("other"))
 
