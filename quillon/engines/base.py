@@ -57,7 +57,7 @@ class Engine:
             schema = StructType.fromDDL(t.columns)
             given = (state or {}).get(name)
             if given is None:
-                self.state[name] = spark.createDataFrame([], schema)
+                self.state[name] = spark.range(0).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
             else:
                 have = set(given.columns)
                 self.state[name] = given.select(*((F.col(f.name) if f.name in have else F.lit(t.defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in schema))
@@ -80,11 +80,14 @@ class Engine:
 
     def call(self, name: str, **arguments) -> DataFrame:
         """One request."""
+        return self.batch(name, self.request(name, 0, **arguments))
+
+    def request(self, name: str, rq: int, /, **arguments) -> DataFrame:
+        """A request as a row, for a batch of several."""
         o = self.operations[name]
         if set(arguments) != set(o.arguments):
             raise TypeError(f"{name} takes {', '.join(o.arguments) or 'nothing'}")
-        row = self.spark.range(1).select(F.lit(0).cast("bigint").alias("rq"), *(_literal(v, spark_type(o.arguments[a])).alias(a) for a, v in arguments.items()))
-        return self.batch(name, row)
+        return self.spark.range(1).select(F.lit(rq).cast("bigint").alias("rq"), *(_literal(v, spark_type(o.arguments[a])).alias(a) for a, v in arguments.items()))
 
     def save(self, folder: str) -> None:
         """Write all tables under the folder and go on from these."""

@@ -10,6 +10,7 @@ random, 65536 weak (up to two words missing).
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,38 +138,62 @@ def extended(query: str, words: Column, tags: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+# What an item has beside its words and *tags begins with a character that no word of a query holds.
+_THERE, _TAG, _TOLD = "\0", "\0t", "\0q"
+
+
+def _own_words(items: DataFrame, told: list[str]) -> DataFrame:
+    """word, id, title_words: each word of an item, *tag, tag that is no word, extended query that holds, and _THERE. title_words is null where all is title."""
+    text = F.array().cast("array<string>")
+    own = items.select("id", words_of(F.col("text")).alias("words"), F.coalesce("tags", text).alias("tags"), F.when(F.contains("text", F.lit("\t")), words_of(F.substring_index("text", "\t", 1))).alias("title_words"))
+    tags = F.transform("tags", lambda x: F.concat(F.lit("*"), x))
+    bare = F.transform(F.array_except("tags", "words"), lambda x: F.concat(F.lit(_TAG), x))
+    holds = [F.when(extended(q, F.col("words"), F.col("tags")), F.lit(_TOLD + q)) for q in told]
+    every = [F.coalesce(F.concat("words", F.array_distinct(tags), bare), text), F.array(F.lit(_THERE)), *([F.array_compact(F.array(*holds))] if holds else [])]
+    return own.select("id", "title_words", F.explode(F.concat(*every)).alias("word"))
+
+
+def _asked_words(requests: DataFrame, has) -> DataFrame:
+    """rq, word, must, also (1 or 0), titled (the word is wanted in the title), least (number of wanted words found): what each request looks for."""
+    need = F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}*~?]+"), lambda w: w != "")
+    begins = lambda w, c: F.startswith(w, F.lit(c))
+    r = requests.withColumn("need", need)
+    r = r.withColumns({"wanted": F.array_distinct(F.filter("need", lambda w: ~begins(w, "?"))), "extra": F.array_distinct(F.transform(F.filter("need", lambda w: begins(w, "?")), lambda w: F.substring(w, 2, 1 << 20)))})
+    one = lambda w, must, also, titled: F.struct(w.alias("word"), F.lit(must).alias("must"), F.lit(also).alias("also"), titled.alias("titled"))
+    no = F.lit(False)
+    plain = F.concat(
+        F.transform("wanted", lambda w: one(w, 1, 0, has(256))),
+        F.transform(F.filter("extra", lambda w: ~begins(w, "*")), lambda w: one(w, 0, 1, no)),
+        F.transform("extra", lambda w: one(F.concat(F.lit(_TAG), w), 0, 1, no)),
+        F.when(F.size("wanted") == 0, F.array(one(F.lit(_THERE), 0, 0, no))).otherwise(F.slice(F.array(one(F.lit(_THERE), 0, 0, no)), 1, 0)),
+    )
+    words = F.when(has(8192), F.array(one(F.concat(F.lit(_TOLD), F.col("query")), 1, 0, no))).otherwise(plain)
+    least = F.when(has(8192), 0).otherwise(F.size("wanted") - F.when(has(65536), 2).otherwise(0))
+    return r.select("rq", least.alias("least"), F.explode(words).alias("w")).select("rq", "least", "w.*")
+
+
 @op("search.search", "flags:int limit:int rate_type:int restrictions:array<struct<rate_type:int,min_value:int,max_value:int>> hash:long use_relevance:double opttag_coeff:double rate_normalize:array<struct<rate_type:int,weight:double,fun:int>> priority_normalize:double decay:struct<rate_type:int,weight:double,fun:int> hash_change:int query:string")
 def _search(e: Engine, requests: DataFrame) -> DataFrame:
     """rq, pos, total, id, rate, hash of the best items.
 
-    Query words joined to postings once for the whole batch; extended queries are parsed side by side (MOST_QUERIES at most).
+    Texts are cut to words once for the whole batch: what an item has (words, tags, extended queries that hold for it, and a
+    mark that it is there) meets what the requests ask for. Different extended queries are MOST_QUERIES at most.
     """
     has = lambda bit: F.expr(f"(flags & {bit}) <> 0")
-    items = e.state["items"].withColumnRenamed("hash", "own_hash").withColumns({"title": F.substring_index("text", "\t", 1)})
-    items = items.withColumns({"words": words_of(F.regexp_replace("text", "\t", " ")), "title_words": words_of(F.col("title")), "tags": F.coalesce("tags", F.array().cast("array<string>"))})
-    plain = requests.where(~has(8192)).withColumns({"need": F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}*~?]+"), lambda w: w != "")})
-    must = F.filter("need", lambda w: ~F.startswith(w, F.lit("?")))
-    plain = plain.withColumns({"must": F.array_distinct(must), "also": F.array_distinct(F.transform(F.filter("need", lambda w: F.startswith(w, F.lit("?"))), lambda w: F.substring(w, 2, 1 << 20)))})
-    post = items.select("id", F.explode(F.array_union("words", F.transform("tags", lambda x: F.concat(F.lit("*"), x)))).alias("word"), "title_words")
-    asked = plain.select("rq", "flags", F.size("must").alias("m"), F.explode("must").alias("word"))
-    hit = asked.join(post, "word").where(~has(256) | F.array_contains("title_words", F.col("word")))
-    hit = hit.groupBy("rq", "id").agg(F.count("*").alias("n"), F.first("m").alias("m"), F.first("flags").alias("flags")).where(F.expr("n >= m - if((flags & 65536) <> 0, 2, 0)")).select("rq", "id", "n")
-    everything = plain.where(F.size("must") == 0).select("rq").join(items.select("id"), F.lit(True)).withColumn("n", F.lit(0).cast("bigint"))
     told = requests.where(has(8192)).select("query").distinct().limit(MOST_QUERIES + 1).collect()
     if len(told) > MOST_QUERIES:
         raise ValueError("too many different extended queries; go in batches")
-    hits = hit.unionByName(everything)
-    for (text,) in told:
-        rq = requests.where(has(8192) & (F.col("query") == text)).select("rq")
-        hits = hits.unionByName(items.where(extended(text, F.col("words"), F.col("tags"))).select("id").join(F.broadcast(rq), F.lit(True)).select("rq", "id", F.lit(1).cast("bigint").alias("n")))
-    rows = hits.join(requests.drop("query"), "rq").join(items, "id").join(plain.select("rq", "also"), "rq", "left")
+    wanted = _asked_words(requests.where("flags IS NOT NULL"), has)
+    hit = wanted.join(_own_words(e.state["items"], [q for (q,) in told]), "word").where(~F.col("titled") | F.col("title_words").isNull() | F.array_contains("title_words", F.col("word")))
+    hits = hit.groupBy("rq", "id").agg(F.sum("must").alias("n"), F.sum("also").alias("optional"), F.max("least").alias("least"), F.min("also").alias("_a")).where("_a = 0 AND n >= least").drop("_a", "least")
+    items = e.state["items"].withColumnRenamed("hash", "own_hash").drop("text", "tags")
+    rows = hits.join(requests.drop("query"), "rq").join(items, "id")
     rate = lambda k: F.coalesce(F.try_element_at("rates", k), F.lit(0))
     rows = rows.where(~has(16) | (F.col("own_hash") == F.col("hash")))
     rows = rows.where(~has(8) | F.forall(F.coalesce("restrictions", F.array().cast("array<struct<rate_type:int,min_value:int,max_value:int>>")), lambda x: rate(x.rate_type).between(x.min_value, x.max_value)))
-    optional = F.size(F.array_intersect(F.coalesce("also", F.array().cast("array<string>")), F.array_union("words", "tags")))
     normal = F.aggregate(F.coalesce("rate_normalize", F.array().cast("array<struct<rate_type:int,weight:double,fun:int>>")), F.lit(0.0), lambda a, x: a + x.weight * F.when(x.fun == 0, F.log2(1 + F.greatest(rate(x.rate_type), F.lit(0))) / 31).otherwise(rate(x.rate_type) / 2147483647.0))
     age = F.lit(e.now) - rate(F.coalesce(F.col("decay.rate_type"), F.lit(0)))
-    score = (normal + F.coalesce("priority_normalize", F.lit(0.0)) * F.col("n") + F.coalesce("opttag_coeff", F.lit(0.0)) * optional) * F.when(has(4096), F.pow(F.lit(2.0), -age / F.col("decay.weight"))).otherwise(1.0)
+    score = (normal + F.coalesce("priority_normalize", F.lit(0.0)) * F.col("n") + F.coalesce("opttag_coeff", F.lit(0.0)) * F.col("optional")) * F.when(has(4096), F.pow(F.lit(2.0), -age / F.col("decay.weight"))).otherwise(1.0)
     by = F.when(has(32768), F.xxhash64("rq", "id").cast("double")).when(has(128) | has(1024), -score).when(has(16384), -F.col("n").cast("double")).when(has(2), F.when(has(4), -rate(F.coalesce("rate_type", F.lit(0)))).otherwise(rate(F.coalesce("rate_type", F.lit(0)))).cast("double")).otherwise(0.0)
     rows = rows.withColumn("_by", by)
     group = F.when(has(32) & (F.col("own_hash") != 0), F.struct(F.col("own_hash").alias("h"), F.array().cast("array<int>").alias("i"))).when(has(64), F.struct(rate(F.coalesce("hash_change", F.lit(0))).cast("bigint").alias("h"), F.array().cast("array<int>").alias("i"))).otherwise(F.struct(F.lit(0).cast("bigint").alias("h"), F.col("id").alias("i")))
@@ -177,8 +202,7 @@ def _search(e: Engine, requests: DataFrame) -> DataFrame:
     return rows.select("rq", "pos", "total", "id", F.when(has(2), rate(F.coalesce("rate_type", F.lit(0)))).alias("rate"), F.when(has(32), F.col("own_hash")).alias("hash"))
 
 
-def by_letters(e: Search, letters: str, limit: int, query: str) -> DataFrame:
-    """The text protocol's ``search<letters>#<limit>(<query>)``: an order letter (lower case ascending, upper case descending, i by id, ? random) and modifiers X extended, P by number of words, U grouped by hash, V title only, T weak."""
+def _by_letters(letters: str, limit: int, query: str) -> dict[str, object]:
     flags, rate = 0, 0
     for c in letters:
         if c in "XPUVT":
@@ -189,7 +213,30 @@ def by_letters(e: Search, letters: str, limit: int, query: str) -> DataFrame:
             flags, rate = flags | 2 | (4 if c.isupper() else 0), RATINGS.index(c.lower())
         elif c.lower() != "i":
             raise ValueError(f"no order {c!r}")
-    out = e.call("search.search", flags=flags, limit=limit if "I" not in letters else 2147483647, rate_type=rate, restrictions=[], hash=0, use_relevance=0.0, opttag_coeff=0.0, rate_normalize=[], priority_normalize=0.0, decay=None, hash_change=0, query=query)
+    return {"flags": flags, "limit": limit if "I" not in letters else 2147483647, "rate_type": rate, "query": query}
+
+
+def by_letters(e: Search, letters: str, limit: int, query: str) -> DataFrame:
+    """The text protocol's ``search<letters>#<limit>(<query>)``: an order letter (lower case ascending, upper case descending, i by id, ? random) and modifiers X extended, P by number of words, U grouped by hash, V title only, T weak."""
+    out = e.batch("search.search", asked(e, [_by_letters(letters, limit, query)]))
     return out.orderBy(F.desc("id")).limit(limit) if "I" in letters else out
 
 
+def batch_by_letters(e: Search, searches: list[tuple[str, int, str]]) -> DataFrame:
+    """``by_letters`` of several (letters, limit, query) in one pass over the texts; rq is the place in the list, pos the place in its order."""
+    out = e.batch("search.search", asked(e, [_by_letters(*s) for s in searches]))
+    limits = {i: n for i, (letters, n, _) in enumerate(searches) if "I" in letters}
+    if not limits:
+        return out
+    turned = F.col("rq").isin(list(limits))
+    most = F.try_element_at(F.create_map(*(F.lit(x) for i, n in limits.items() for x in (i, n))), F.col("rq").cast("int"))
+    return out.withColumn("pos", F.when(turned, F.col("total") - F.col("pos") + 1).otherwise(F.col("pos")).cast("int")).where(~turned | (F.col("pos") <= most))
+
+
+#: Arguments of search.search that change nothing.
+NEUTRAL = {"rate_type": 0, "restrictions": [], "hash": 0, "use_relevance": 0.0, "opttag_coeff": 0.0, "rate_normalize": [], "priority_normalize": 0.0, "decay": None, "hash_change": 0}
+
+
+def asked(e: Search, searches: list[dict[str, object]]) -> DataFrame:
+    """Requests of ``search.search`` with rq from 0; arguments that aren't given are NEUTRAL."""
+    return reduce(DataFrame.unionByName, (e.request("search.search", i, **NEUTRAL | s) for i, s in enumerate(searches)))

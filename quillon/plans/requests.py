@@ -16,6 +16,11 @@ def _rows(op: str, df: DataFrame, x: str, pos: str = "0") -> DataFrame:
     return df.select(F.lit(op).alias("op"), F.col("rq").cast("bigint").alias("rq"), F.expr(pos).cast("bigint").alias("pos"), F.expr(x).cast("string").alias("x"))
 
 
+def _places(ops: list[str], df: DataFrame, x: str) -> DataFrame:
+    """The places of a batch whose requests, by rq from 0, are the operations of these names."""
+    return df.select(F.get(F.array(*(F.lit(o) for o in ops)), F.col("rq").cast("int")).alias("op"), F.lit(0).cast("bigint").alias("rq"), F.col("pos").cast("bigint").alias("pos"), F.expr(x).cast("string").alias("x"))
+
+
 def _all(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -293,17 +298,17 @@ WORDS = "WITH i AS (SELECT doc_id::INT AS id, n_chars AS rate, (doc_id % 30)::BI
     UNION ALL SELECT 'get', id, 0, rate::VARCHAR FROM j"""
 )
 def e11_search(spark, d):
+    from quillon.engines import search
+
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("rq"), F.array(F.col("doc_id").cast("int")).alias("id"), F.col("n_chars").cast("int").alias("rate"), F.lit(0).alias("sate"), "text")
     e = engine("search", spark, {})
     e.batch("search.setItem", docs)
     e.batch("search.setHash", docs.withColumn("hash", F.col("rq") % 30))
     e.batch("search.incrRate", docs.where("rq % 2 = 0").withColumns({"rate_type": F.lit(0), "rate_value": F.lit(1000)}))
     e.batch("search.deleteItem", docs.where("rq % 17 = 0"))
-    ask = dict(rate_type=0, restrictions=[], hash=0, use_relevance=0.0, opttag_coeff=0.0, rate_normalize=[], priority_normalize=0.0, decay=None, hash_change=0)
+    found = e.batch("search.search", search.asked(e, [{"flags": 2 + 4, "limit": 10, "query": "the of"}, {"flags": 8192, "limit": 10, "query": "(und | the) & !of"}, {"flags": 2 + 32, "limit": 1_000_000, "query": "and"}]))
     return _all(
-        _rows("rate", e.call("search.search", flags=2 + 4, limit=10, query="the of", **ask), "concat_ws(' ', total, id[0], rate)", "pos"),
-        _rows("bool", e.call("search.search", flags=8192, limit=10, query="(und | the) & !of", **ask), "concat_ws(' ', total, id[0])", "pos"),
-        _rows("group", e.call("search.search", flags=2 + 32, limit=1_000_000, query="and", **ask), "id[0]", "pos"),
+        _places(["rate", "bool", "group"], found, "if(rq = 2, cast(id[0] AS string), concat_ws(' ', total, id[0], rate))"),
         _rows("get", e.batch("search.getRate", docs.where("rq % 17 <> 0").select("rq", "id", F.lit(0).alias("rate_type"))), "rate"),
     )
 
