@@ -475,7 +475,7 @@ def e16_weights_storage(spark, d):
 )
 def e17_mode_flags(spark, d):
     """Bits and letters that change what an operation shows or how it sorts."""
-    from quillon.engines.search import by_letters
+    from quillon.engines.search import batch_by_letters
 
     lists = _lists(spark, d)
     by = table(spark, d, "supplier").where("s_suppkey % 5 = 2").select(F.col("s_suppkey").alias("rq"), F.array("s_suppkey").alias("list_id"), F.lit(64 + 128).alias("mode"), F.lit(3).alias("limit"), F.lit(0).alias("offset"))
@@ -495,8 +495,7 @@ def e17_mode_flags(spark, d):
     none = "coalesce(cast({} AS string), 'none')".format
     return _all(
         _rows("bits", lists.batch("lists.getListFullLimit", by), f"concat('flags ', flags, ' date ', date, ' value ', {none('value')})", "pos"),
-        _rows("up", by_letters(found, "r", 5, "the"), "id[0]", "pos"), _rows("down", by_letters(found, "R", 5, "the"), "id[0]", "pos"),
-        _rows("ids", by_letters(found, "XI", 5, "the | und").withColumn("p", F.expr("row_number() OVER (ORDER BY id DESC)")), "id[0]", "p"),
+        _places(["up", "down", "ids"], batch_by_letters(found, [("r", 5, "the"), ("R", 5, "the"), ("XI", 5, "the | und")]), "id[0]"),
         _rows("friends", f.batch("friends.getFriends", users), f"concat(mask, ' ', {none('time')})", "pos"), _rows("seen", every, "s", "id"),
         _rows("fields", texts.batch("text.getMessage", one), f"concat(length(text), ' ', {none('date')}, ' ', peer_id)"),
         _rows("order", t.call("targ.search", mode=2 + 4, limit=6, user_list=[], query="country=4"), "uid", "pos"),
